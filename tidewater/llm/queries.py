@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, media, sentencepiece_codec, warc
+from .shared import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,4 +20,28 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate}
+
+def op4_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "media")
+    media.write_archive(table(spark, sf_dir, "documents"), path)
+    return media.measure(media.read_archive(spark, path)).withColumnRenamed("key", "doc_id")
+
+
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    found = warc.read_archives(spark, path)
+    return found.select(F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), model or tokenizer("piece_bpe_32k.model"))
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op4_media_archive": op4_media_archive, "op7_warc_revisits": op7_warc_revisits, "op10_sentencepiece": op10_sentencepiece}
