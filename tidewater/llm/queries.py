@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, sentencepiece_codec, warc
-from .shared import shared_dir
+from . import decontaminate, licenses, media, quality, sentencepiece_codec, toxicity, urls, warc
+from .shared import ensure_checkpoints, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +21,25 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "media")
     media.write_archive(table(spark, sf_dir, "documents"), path)
     return media.measure(media.read_archive(spark, path)).withColumnRenamed("key", "doc_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoints(spark)
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -34,6 +47,10 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -44,4 +61,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = Non
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), model or tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op4_media_archive": op4_media_archive, "op7_warc_revisits": op7_warc_revisits, "op10_sentencepiece": op10_sentencepiece}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op4_media_archive": op4_media_archive, "op5_toxicity": op5_toxicity, "op6_url_filter": op6_url_filter, "op7_warc_revisits": op7_warc_revisits, "op9_license_scan": op9_license_scan, "op10_sentencepiece": op10_sentencepiece}
