@@ -4,9 +4,10 @@ Two zstandard dictionaries are trained: one on windows of ordinary text, and one
 toxic text that ordinary text lacks (byte k-mers that stand in several toxic documents, in differing
 contexts, far more often than in ordinary ones).  A window is compressed with the ordinary dictionary
 and again with the toxic passages set before it; ordinary matches keep their distances, so the bytes
-saved come from toxic passages alone.  A document's statistic is the sum of its largest window savings;
-out-of-fold statistics of the labelled sample are turned to probabilities by isotonic regression,
-which calibrates the threshold.  Whole texts are scored, in overlapping windows; no shuffle.
+saved come from toxic passages alone.  Out-of-fold savings of the labelled sample give each saving a
+log-likelihood ratio; a document's statistic is the sum over its windows, turned to a probability by
+isotonic regression, which calibrates the threshold.  Whole texts are scored, in overlapping windows;
+no shuffle.
 
 Defined cases: null and empty texts have no windows and so the statistic 0; without toxic or ordinary
 labelled rows every document gets the share of toxic ones in the sample; repeated rows get equal
@@ -15,6 +16,7 @@ rows; extra columns are never read.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,11 +28,11 @@ from pyspark.sql import functions as F
 from . import textbuf as tb
 from .labelled import held_out, sample
 
-WINDOW, STEP = 64, 48
-ORDINARY_BYTES, TOXIC_BYTES = 2048, 1024
+WINDOW, STEP = 256, 240
+ORDINARY_BYTES, TOXIC_BYTES = 8192, 1024
 K = 6
-#: Windows whose savings are summed.
-TOP = 3
+#: Savings are counted from -LEAST to MOST bytes a window; evidence of one window lies in [-1, CLIP].
+LEAST, MOST, CLIP = 3, 12, 4.0
 #: Labelled documents that training reads at most: ordinary, toxic.
 PER_CLASS = {0: 2400, 1: 1200}
 #: Windows that the ordinary dictionary is trained on at most.
@@ -67,8 +69,9 @@ def _spread(docs: list[bytes], among: np.ndarray | None = None) -> tuple[np.ndar
     return np.unique(np.unique(x[new][:, [0, 2]], axis=0)[:, 0], return_counts=True)
 
 
-def passages(toxic: list[bytes], ordinary: list[bytes], least: int = 4, ratio: float = 10.0) -> list[bytes]:
+def passages(toxic: list[bytes], ordinary: list[bytes], share: float = 0.05, ratio: float = 10.0) -> list[bytes]:
     """Runs of toxic text covered by k-mers that ordinary text lacks, with a byte on either side."""
+    least = max(3, math.ceil(share * len(toxic)))
     kmer, count = _spread(toxic)
     kmer, count = kmer[count >= least], count[count >= least]
     other, seen = _spread(ordinary, kmer)
@@ -108,7 +111,7 @@ class Dictionaries:
         return cls(_trained(ORDINARY_BYTES, kept), _trained(TOXIC_BYTES, passages(toxic, ordinary)) if toxic else b"")
 
     def compressors(self) -> tuple:
-        settings = zs.ZstdCompressionParameters(window_log=14, hash_log=12, chain_log=12, search_log=6, min_match=3, target_length=64, strategy=zs.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0, format=zs.FORMAT_ZSTD1_MAGICLESS)
+        settings = zs.ZstdCompressionParameters(window_log=15, hash_log=13, chain_log=13, search_log=6, min_match=3, target_length=64, strategy=zs.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0, format=zs.FORMAT_ZSTD1_MAGICLESS)
         out = []
         for content in (self.ordinary, self.toxic + self.ordinary):
             d = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
@@ -117,21 +120,14 @@ class Dictionaries:
         return tuple(out)
 
 
-def statistic(data: bytes, plain, toxic) -> int:
-    """The sum of the largest savings (bytes) over a document's windows."""
-    top = [0] * TOP
+def savings(data: bytes, plain, toxic) -> list[int]:
+    """Bytes saved in each window, from -LEAST to MOST."""
     a, b = plain.compress, toxic.compress
-    for i in range(0, max(1, len(data) - WINDOW + STEP) if data else 0, STEP):
-        w = data[i : i + WINDOW]
-        saved = len(a(w)) - len(b(w))
-        if saved > top[0]:
-            top[0] = saved
-            top.sort()
-    return sum(top)
+    return [max(-LEAST, min(MOST, len(a(w)) - len(b(w)))) for w in windows(data)]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[list[int], list[float]]:
-    """Pool adjacent violators on integer x: from each level on, a probability; a little prior weight at each level."""
+    """Pool adjacent violators on integer x: from each level on, a probability."""
     levels = np.unique(x)
     blocks: list[list[float]] = []  # level, sum, weight
     for v in levels:
@@ -147,11 +143,15 @@ def isotonic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[list[int], lis
 @dataclass
 class Model:
     dictionaries: Dictionaries
+    evidence: list[float]
     levels: list[int]
     chances: list[float]
 
-    def chance(self, stat: int) -> float:
-        k = int(np.searchsorted(self.levels, stat, side="right")) - 1
+    def statistic(self, saved: list[int]) -> int:
+        return round(4 * sum(self.evidence[g + LEAST] for g in saved))
+
+    def chance(self, data: bytes, plain, toxic) -> float:
+        k = int(np.searchsorted(self.levels, self.statistic(savings(data, plain, toxic)), side="right")) - 1
         return self.chances[max(k, 0)]
 
 
@@ -164,19 +164,26 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", key: str =
     rows = sample(docs, labels, label, per_class=per_class or PER_CLASS, key=key, text=text).orderBy("key").collect()
     y = np.array([r["label"] for r in rows])
     data, fold = [_lower(r["text"]) for r in rows], np.array([r["fold"] for r in rows])
+    flat = [0.0] * (LEAST + MOST + 1)
     if not len(y) or y.min() == y.max():
-        return Model(Dictionaries(b"", b""), [0], [float(y.mean()) if len(y) else 0.0])
+        return Model(Dictionaries(b"", b""), flat, [0], [float(y.mean()) if len(y) else 0.0])
 
     def trained(on: np.ndarray) -> Dictionaries:
         return Dictionaries.train([data[i] for i in np.flatnonzero(on & (y == 1))], [data[i] for i in np.flatnonzero(on & (y == 0))])
 
-    stats = np.zeros(len(y), np.int64)
+    saved: list[list[int]] = [[] for _ in rows]
     for f in range(3):
         if (fold == f).any():
             pair = trained(fold != f).compressors()
             for i in np.flatnonzero(fold == f):
-                stats[i] = statistic(data[i], *pair)
-    return Model(trained(np.ones(len(y), bool)), *isotonic(stats, y, float(y.mean())))
+                saved[i] = savings(data[i], *pair)
+    counts = np.full((2, len(flat)), 0.5)
+    for k, gains in zip(y, saved, strict=True):
+        np.add.at(counts[k], np.array(gains, np.int64) + LEAST, 1)
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    model = Model(trained(np.ones(len(y), bool)), np.clip(ratio, -1, CLIP).tolist(), [], [])
+    model.levels, model.chances = isotonic(np.array([model.statistic(g) for g in saved]), y, float(y.mean()))
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -188,7 +195,7 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
         for batch in batches:
             data, off = tb.utf8(batch.column("text"))
             low = tb.LOWER[data]
-            got = [held.value.chance(statistic(low[a:b].tobytes(), *pair)) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            got = [held.value.chance(low[a:b].tobytes(), *pair) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(got, pa.float64())], ["key", "score"])
 
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, "key long, score double").withColumnRenamed("key", key)
@@ -203,7 +210,7 @@ def keep_clean(docs: DataFrame, model: Model, *, text: str = "text", threshold:
         for batch in batches:
             data, off = tb.utf8(batch.column(text))
             low = tb.LOWER[data]
-            yield batch.filter(pa.array([held.value.chance(statistic(low[a:b].tobytes(), *pair)) < threshold for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.bool_()))
+            yield batch.filter(pa.array([held.value.chance(low[a:b].tobytes(), *pair) < threshold for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
