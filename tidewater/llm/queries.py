@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, media, quality, sentencepiece_codec, toxicity, urls, warc
+from . import decontaminate, licenses, media, neardup, quality, sentencepiece_codec, toxicity, urls, warc
 from .shared import ensure_checkpoints, shared_dir
 
 
@@ -25,6 +25,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "media")
     media.write_archive(table(spark, sf_dir, "documents"), path)
@@ -61,4 +65,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = Non
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), model or tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op4_media_archive": op4_media_archive, "op5_toxicity": op5_toxicity, "op6_url_filter": op6_url_filter, "op7_warc_revisits": op7_warc_revisits, "op9_license_scan": op9_license_scan, "op10_sentencepiece": op10_sentencepiece}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op3_near_duplicates": op3_near_duplicates, "op4_media_archive": op4_media_archive, "op5_toxicity": op5_toxicity, "op6_url_filter": op6_url_filter, "op7_warc_revisits": op7_warc_revisits, "op9_license_scan": op9_license_scan, "op10_sentencepiece": op10_sentencepiece}
