@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm import stages
 
-STAGES = [
-    ("decontaminate", stages.decontaminate),
-]
-#: No stage but one can be expressed in SQL; tests hold the stages against brute force.
+#: (name, function): each function takes (spark, docs, sf_dir) and returns a DataFrame.
+STAGES = stages.STAGES
+#: Trained models, sampling hashes and the tokenizer can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what a stage returns is written in the shared folder and read again."""
+    """All stages over the documents."""
     return stages.chain(spark, sf_dir, STAGES)

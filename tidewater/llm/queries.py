@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, media, neardup, quality, sentencepiece_codec, toxicity, urls, warc
+from . import decontaminate, licenses, media, neardup, quality, repeats, sentencepiece_codec, toxicity, urls, warc
 from .shared import ensure_checkpoints, shared_dir
 
 
@@ -51,6 +51,10 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.find_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -65,4 +69,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = Non
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), model or tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op3_near_duplicates": op3_near_duplicates, "op4_media_archive": op4_media_archive, "op5_toxicity": op5_toxicity, "op6_url_filter": op6_url_filter, "op7_warc_revisits": op7_warc_revisits, "op9_license_scan": op9_license_scan, "op10_sentencepiece": op10_sentencepiece}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op3_near_duplicates": op3_near_duplicates, "op4_media_archive": op4_media_archive, "op5_toxicity": op5_toxicity, "op6_url_filter": op6_url_filter, "op7_warc_revisits": op7_warc_revisits, "op8_repeats": op8_repeats, "op9_license_scan": op9_license_scan, "op10_sentencepiece": op10_sentencepiece}
