@@ -30,8 +30,8 @@ TABLES = {
     "changes": "SELECT event_id, ts, CAST(user_id AS {STR}) AS path, CASE event_type WHEN 'signup' THEN 'Created' WHEN 'purchase' THEN 'Renamed' WHEN 'error' THEN 'Deleted' ELSE 'Modified' END AS change_type, CAST(round(value * 100) AS BIGINT) AS bytes FROM events",
     "versions": "SELECT o_orderkey AS id, o_custkey AS grp, CASE WHEN o_orderkey % 37 = 0 THEN NULL ELSE o_orderdate END AS stamp, o_orderpriority = '1-URGENT' AS pinned FROM orders",
     "entries": "SELECT l_orderkey AS generation, CAST(l_linenumber AS BIGINT) AS idx, min(l_partkey) AS digest, CAST(min(l_quantity) AS BIGINT) AS size, min(l_partkey) % 9 = 0 AS is_hole, CASE WHEN min(l_partkey) % 14 = 0 THEN min(l_partkey) + 1 ELSE NULL END AS base FROM lineitem GROUP BY l_orderkey, l_linenumber",
-    "chunk_index": "SELECT p_partkey AS digest, p_brand AS pack, CAST(p_size AS BIGINT) AS stored, p_partkey * 64 AS pack_offset, CAST(p_retailprice AS BIGINT) AS size_bytes FROM part WHERE p_partkey % 23 <> 0",
-    "manifests": "SELECT o_orderkey AS generation, o_custkey AS part_key, o_orderdate AS created, CASE WHEN o_orderkey % 41 = 0 THEN NULL ELSE o_orderkey - 1 END AS parent, CAST(o_totalprice AS BIGINT) AS length, o_orderkey % 3 AS grid FROM orders",
+    "chunk_index": "SELECT p_partkey AS digest, p_brand AS pack, CAST(p_size AS BIGINT) AS stored, p_partkey * 64 AS pack_offset, CAST(floor(p_retailprice) AS BIGINT) AS size_bytes FROM part WHERE p_partkey % 23 <> 0",
+    "manifests": "SELECT o_orderkey AS generation, o_custkey AS part_key, o_orderdate AS created, CASE WHEN o_orderkey % 41 = 0 THEN NULL ELSE o_orderkey - 1 END AS parent, CAST(floor(o_totalprice) AS BIGINT) AS length, o_orderkey % 3 AS grid FROM orders",
     "turns": "SELECT conv_id * 1000 + turn AS id, CASE WHEN turn = 0 THEN NULL ELSE conv_id * 1000 + turn - 1 END AS parent, conv_id, turn, text AS name FROM conversations WHERE conv_id % 7 <> 0 OR turn <> 1",
     "tree": """SELECT CAST(r_regionkey AS BIGINT) + 1 AS ref, CAST(0 AS BIGINT) AS parent, r_name AS name, TRUE AS is_dir FROM region
         UNION ALL SELECT 100 + CAST(n_nationkey AS BIGINT), CAST(n_regionkey AS BIGINT) + 1, n_name, TRUE FROM nation
