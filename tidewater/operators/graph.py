@@ -58,3 +58,16 @@ def exclusion_match(paths: DataFrame, rules: list[str]) -> DataFrame:
     direct = paths.where(hit)
     below = subtree(paths, direct.where("is_dir"))
     return direct.select("ref").union(below).distinct()
+
+
+def walk(nodes: DataFrame, asked: DataFrame, deepest: int) -> DataFrame:
+    """(asked, ref) of paths found segment by segment from the roots, ignoring case; a join a level, with paths that end dropping out."""
+    roots = nodes.join(nodes.select(F.col("ref").alias("parent")), "parent", "left_anti").select("ref", F.lower("name").alias("part"))
+    below = nodes.select(F.col("parent").alias("at"), F.lower("name").alias("part"), "ref")
+    todo = asked.select("asked", F.split(F.lower("asked"), "/").alias("parts"))
+    found = todo.withColumn("part", F.col("parts")[0]).join(roots, "part").select("asked", "parts", F.col("ref").alias("at"))
+    out = found.where(F.size("parts") == 1)
+    for level in range(1, deepest):
+        found = found.where(F.size("parts") > level).withColumn("part", F.get("parts", F.lit(level))).join(below, ["at", "part"]).select("asked", "parts", F.col("ref").alias("at"))
+        out = out.unionByName(found.where(F.size("parts") == level + 1))
+    return out.select("asked", F.col("at").alias("ref"))

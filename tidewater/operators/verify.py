@@ -11,3 +11,17 @@ def sample_compare(source: DataFrame, dest: DataFrame, n: int) -> DataFrame:
     first = source.orderBy("path").limit(n).select("rel", "hash")
     at = dest.select("rel", F.col("hash").alias("d_hash"))
     return first.join(at, "rel", "left").where("d_hash IS NULL OR d_hash <> hash").select("rel", F.when(F.col("d_hash").isNull(), "missing").otherwise("mismatch").alias("problem"))
+
+
+def restore_problems(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """Chunks of a restored volume that differ: data is fatal, a hole that isn't one (or the reverse) is a warning."""
+    f = found.select("idx", *(F.col(c).alias(f"f_{c}") for c in ("is_hole", "size", "digest")))
+    flip = F.col("is_hole") != F.col("f_is_hole")
+    data = ~F.col("is_hole") & ((F.col("size") != F.col("f_size")) | (F.col("digest") != F.col("f_digest")))
+    return expected.join(f, "idx").where(flip | data).select("idx", F.when(flip, "warn").otherwise("fatal").alias("severity"))
+
+
+def resume_ranges(extents: DataFrame, unit: int, verified: int) -> DataFrame:
+    """What is left of each extent's bytes beyond those verified."""
+    start, end = F.col("lo") * unit, (F.col("lo") + F.col("cnt")) * unit
+    return extents.where((F.col("cnt") > 0) & (end > verified)).select("vol", "id", F.greatest(start, F.lit(verified).cast("long")).alias("from"), end.alias("to"))
