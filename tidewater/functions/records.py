@@ -33,6 +33,8 @@ def parse_journal(raw: bytes) -> list[tuple[int, int, str, int]]:
             raise ValueError(f"malformed record at {at}")
         out.append((ref, parent, raw[at + offset : at + offset + n].decode("utf-16-le"), attributes))
         at += size
+    if raw and at != len(raw):
+        raise ValueError(f"{len(raw) - at} bytes are left over")
     return out
 
 

@@ -11,7 +11,7 @@ LEAST_INTERVAL = 10
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """A tree as an inventory (path, mtime, size); file contents are never read."""
+    """A tree as an inventory (path, mtime, size); file contents are never read.  Spark's file sources leave out empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.selectExpr("path", "unix_micros(modificationTime) * 10 + 621355968000000000 AS mtime", "length AS size")
 
