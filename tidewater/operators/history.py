@@ -53,9 +53,10 @@ def pin_match(stamp: Column, spec: str) -> Column:
 
 def gc_roots(manifests: DataFrame, now: Column, *, keep_last: int, keep_days: int = 0, pins: list[int] = ()) -> DataFrame:
     """Generations that stay: the newest, those created in the window (all without a date), and pins."""
-    df = manifests.withColumn("rn", F.row_number().over(Window.orderBy(F.col("generation").desc())))
+    # as many rows as the policy keeps, whatever the store holds
+    top = manifests.orderBy(F.col("generation").desc()).limit(max(1, keep_last)).select("generation", F.lit(True).alias("newest"))
     recent = F.lit(False) if keep_days <= 0 else F.col("created").isNull() | (F.col("created") >= now - F.make_interval(days=F.lit(keep_days)))
-    return df.where((F.col("rn") <= max(1, keep_last)) | recent | F.col("generation").isin(list(pins))).select("generation")
+    return manifests.join(F.broadcast(top), "generation", "left").where(F.col("newest") | recent | F.col("generation").isin(list(pins))).select("generation")
 
 
 def batch_probe(deletes: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def delete_guard(probe: DataFrame, *, count: int, gigabytes: float, percent: flo
 def locality(deletes: DataFrame) -> DataFrame:
     """The directory with most of a batch's deletes, and its share; ties go to the smallest name."""
     per = deletes.groupBy("batch", "dir").agg(F.count("*").alias("n"))
-    return per.groupBy("batch").agg(F.sum("n").alias("total"), F.max_by("dir", F.struct("n", F.col("dir").isNull())).alias("any"), F.max("n").alias("n"), F.min(F.struct((-F.col("n")).alias("m"), "dir")).alias("top")).select("batch", F.col("top.dir").alias("dir"), (F.col("n") / F.col("total")).alias("share"), "total")
+    return per.groupBy("batch").agg(F.sum("n").alias("total"), F.max("n").alias("n"), F.min(F.struct((-F.col("n")).alias("m"), "dir")).alias("top")).select("batch", F.col("top.dir").alias("dir"), (F.col("n") / F.col("total")).alias("share"), "total")
 
 
 def bulk_cleanup(located: DataFrame, percent: float, least: int = 10) -> DataFrame:

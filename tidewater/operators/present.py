@@ -17,3 +17,16 @@ def first_n(df: DataFrame, group: str, value: str, n: int) -> DataFrame:
 def versions_json(versions: DataFrame) -> DataFrame:
     """One JSON object a version, for a JSON lines sink or an array put together by the consumer."""
     return versions.select("id", F.to_json(F.struct("source", "file", "timestamp", "size", "pinned")).alias("json"))
+
+
+def global_index(df: DataFrame, order: str, partitions: int) -> DataFrame:
+    """Rows numbered from 0 in the order of a column, without one task that sees them all.
+
+    Rows are dealt out by ranges and sorted inside them; each range starts where the ranges before it
+    end, which takes one bounded row a range.
+    """
+    dealt = df.repartitionByRange(partitions, order).withColumn("range", F.spark_partition_id())
+    sizes = dealt.groupBy("range").agg(F.count("*").alias("n"))
+    starts = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1
+    return dealt.withColumn("place", place).join(F.broadcast(starts), "range").withColumn("index", (F.col("start") + F.col("place")).cast("long")).drop("range", "place", "start")

@@ -18,11 +18,10 @@ def _source(t):
 
 @query("tree_scan", "SELECT path, size, CAST((row_number() OVER (ORDER BY path) - 1) // 2000 AS BIGINT) AS chunk FROM inventory WHERE path NOT LIKE '%.tmp'")
 def _(t):
-    from pyspark.sql import Window
+    from ..operators.present import global_index
 
-    # chunk numbers are local to a directory's scan; here the whole table is one scan
-    kept = t.inventory.where(~P.excluded(F.col("path"), ["*.tmp"]))
-    return kept.select("path", "size", F.floor((F.row_number().over(Window.orderBy("path")) - 1) / 2000).cast("long").alias("chunk"))
+    kept = t.inventory.where(~P.excluded(F.col("path"), ["*.tmp"])).select("path", "size")
+    return global_index(kept, "path", 8).select("path", "size", F.floor(F.col("index") / 2000).cast("long").alias("chunk"))
 
 
 @query("stat_snapshot", "SELECT path, size, mtime, attrs FROM inventory")
