@@ -16,6 +16,7 @@ from ..operators import history as H
 from ..operators import policy as P
 from ..operators import store as S
 from ..operators import sync
+from ..sources.folders import shared_folder
 from .catalog import query
 from .files import _FNV, _source
 from .history import _JOBS, _SLOT, _jobs
@@ -113,14 +114,12 @@ def _(t):
 @query("spike_latch_stream")
 def _(t):
     """The stateful form over the events' files."""
-    import tempfile
-
     from ..streaming import events as E
 
     schema = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").schema
     raw = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir + "/")
     feed = raw.select(F.col("user_id").cast("string").alias("path"), "event_id", "ts")
-    return E.run_available(E.spike_stream(feed, "path", 3600, 3), "append", tempfile.mkdtemp(), f"latched_{abs(hash(t.sf_dir))}")
+    return E.run_available(E.spike_stream(feed, "path", 3600, 3), "append", shared_folder(t.spark, "latch"), f"latched_{abs(hash(t.sf_dir))}")
 
 
 # records

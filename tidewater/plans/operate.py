@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import codecs as Z
 from ..operators import policy as P
 from ..operators import store as S
+from ..sources.folders import shared_folder
 from ..streaming import events as E
 from .catalog import query
 
@@ -29,7 +28,7 @@ def _(t):
     raw = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir + "/")
     kind = F.when(F.col("event_type") == "signup", "Created").when(F.col("event_type") == "purchase", "Renamed").when(F.col("event_type") == "error", "Deleted").otherwise("Modified")
     stream = E.debounce_stream(raw.select("event_id", "ts", F.col("user_id").cast("string").alias("path"), kind.alias("change_type")), "path", "1 hour", "1 day")
-    return E.run_available(stream, "append", tempfile.mkdtemp(), f"debounced_{abs(hash(t.sf_dir))}")
+    return E.run_available(stream, "append", shared_folder(t.spark, "debounce"), f"debounced_{abs(hash(t.sf_dir))}")
 
 
 @query("last_event_wins", "SELECT path, arg_max(change_type, (ts, event_id)) AS change_type FROM changes GROUP BY path")
