@@ -62,12 +62,13 @@ def test_contamination(spark):
     assert not decontaminate.find_contamination(frame(spark, docs), bench.limit(0)).where("n_hit > 0").count()
 
 
-def test_contamination_sql(spark):
+@pytest.mark.parametrize("name", sorted(llm_sql.SQL))
+def test_sql(spark, name):
     sys.path.insert(0, str(Path(__file__).parents[1]))
     import compare
 
     con = compare.duck(SF)
-    assert compare.difference(spark, con, SF, queries.QUERIES["op1_decontaminate"], llm_sql.SQL["op1_decontaminate"]) is None
+    assert compare.difference(spark, con, SF, queries.QUERIES[name], llm_sql.SQL[name]) is None
 
 
 @pytest.mark.parametrize("shard", [600, 1 << 21])
