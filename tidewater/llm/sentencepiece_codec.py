@@ -28,9 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as pb
 
+from . import textbuf as tb
+
 MARK = "▁"
-#: Parts whose ids are kept in memory (about 300 bytes each).
-CACHE = 200_000
+#: Parts whose ids are kept in memory (about 300 bytes each), and text bytes worked on at a time.
+CACHE = 40_000
+SHARD_BYTES = 1 << 20
 
 
 class CharacterMap:
@@ -151,6 +154,7 @@ class Codec:
         spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces = b"", False, False, False
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.cache: dict[str, tuple[list[int], str]] = {}
+        self.shared = list(range(len(proto.pieces)))  # one object for each id, whatever holds it
         self.split = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
     def _parts(self, text: str) -> list[str]:
@@ -169,7 +173,7 @@ class Codec:
         if new:
             fresh = list(new)
             for p, ids in zip(fresh, self.pieces.encode(fresh, num_threads=1), strict=True):
-                entry = ids, ",".join(map(str, ids))
+                entry = [self.shared[i] for i in ids], ",".join(map(str, ids))
                 (self.cache if len(self.cache) < CACHE and len(p) < 64 else extra)[p] = entry
         out = []
         for parts in cut:
@@ -212,11 +216,13 @@ def encode(docs: DataFrame, model_path: str, *, key: str = "doc_id", text: str =
 
     def run(batches):
         codec = _codec(model)
-        for batch in batches:
+        for batch in tb.sharded(batches, "text", SHARD_BYTES):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             got = codec.encode(texts)
             spans = [codec.spans(t, ids) for t, (ids, _) in zip(texts, got, strict=True)]
-            lists = [pa.array(x, pa.list_(pa.int32())) for x in ([g[0] for g in got], [s[0].astype(np.int32) for s in spans], [s[1].astype(np.int32) for s in spans])]
+            bounds = pa.array(np.concatenate([[0], np.cumsum([len(ids) for ids, _ in got])]), pa.int32())
+            flat = [np.fromiter(chain.from_iterable(g[0] for g in got), np.int32), *(np.concatenate([s[k] for s in spans] or [[]]).astype(np.int32) for k in (0, 1))]
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in flat]
             yield pa.RecordBatch.from_arrays([batch.column("key"), *lists, pa.array(codec.whole.decode([g[0] for g in got], num_threads=1), pa.string())], ["key", "ids", "starts", "ends", "decoded"])
 
     narrow = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
@@ -229,7 +235,7 @@ def digests(docs: DataFrame, model_path: str, *, key: str = "doc_id", text: str
 
     def run(batches):
         codec = _codec(model)
-        for batch in batches:
+        for batch in tb.sharded(batches, "text", SHARD_BYTES):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows = []
             for t, (ids, digits), back in zip(texts, got := codec.encode(texts), codec.whole.decode([g[0] for g in got], num_threads=1), strict=True):
