@@ -131,6 +131,30 @@ def test_near_duplicates_of_a_large_group(spark):
     assert {got[i] for i in range(120)} == {0} and all(got[200 + i] == 200 + i for i in range(40))
 
 
+def _one_bucket(monkeypatch):
+    """Every text with words in one large bucket, so that nothing is left to other bands."""
+    import numpy as np
+
+    real = neardup.band_hashes
+    monkeypatch.setattr(neardup, "band_hashes", lambda *a: [np.array([7] if len(b) else [], np.int64) for b in real(*a)])
+
+
+def test_large_buckets_keep_links_away_from_their_ends(spark, monkeypatch):
+    _one_bucket(monkeypatch)
+    rnd = random.Random(9)
+    line = lambda: ["v" + str(rnd.randrange(100_000)) for _ in range(200)]
+    docs, w = [(i, " ".join(line())) for i in (0, 999)], line()
+    for i in range(150):
+        # a group that drifts: a copy is near the next ones, not the last
+        w[i] = f"x{i}"
+        docs.append((100 + i, " ".join(w)))
+    pairs = [line() for _ in range(40)]
+    docs += [(300 + 2 * k + j, " ".join([*p[:-1], f"z{j}"])) for k, p in enumerate(pairs) for j in (0, 1)]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(frame(spark, docs)).collect()}
+    assert got == brute.near_classes(docs)
+    assert {got[100 + i] for i in range(150)} == {100} and got[0] == 0 and got[999] == 999
+
+
 def test_sampling_estimates_similarity():
     import numpy as np
 
