@@ -296,6 +296,12 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, docs[:0])).count() == 0
 
 
+def test_licenses_in_a_third_of_the_rows(spark):
+    docs = [(i, f"file {i} " + ("Licensed under CC BY-NC 4.0" if i % 3 == 0 else "plain text")) for i in range(60)]
+    got = {r.doc_id: r.labels for r in licenses.scan(frame(spark, docs)).collect()}
+    assert got == {i: "cc-by-nc" if i % 3 == 0 else "" for i in range(60)}
+
+
 def test_urls(spark):
     queries.ensure_checkpoints(spark)
     rows = [(1, None), (2, ""), (3, "HTTP://A.COM/en/x?y"), (4, "x://com/en/"), (5, "a://sub.example.com/en/7#x"), (6, "h://?q"), (7, "h://xcom/en/"), (8, "a://net"), (9, "http://n.example.net/de/81"), (10, "http://N.net/de/81"), (10, "http://N.net/de/81"), (11, "http://k.org/es/"), (12, "http://k.org/es")]

@@ -1,10 +1,10 @@
 """Licence scans by a positional index of rare licence words, in DataFrame functions only.
 
 The templates' words, with their document counts over the whole corpus, give each word an inverse
-document frequency; words in more than ``common`` of the documents are not indexed.  A file's rarest
+document frequency, with a floor for words in nearly all of them.  A file's rarest
 licence words are looked up in the postings (word -> template, position); a template matches where
 several of its words agree on one relative position, weighted by their rarity, and counts only if
-one of its mandatory key phrases stands in the file.  Only files that hold an indexed word are
+one of its mandatory key phrases stands in the file.  Only files that hold a key phrase are
 exploded; their (file, template, offset) groups are summed before any shuffle.
 
 Beside that, the base phrases are counted exactly in every file.
@@ -37,7 +37,8 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["distribute this software for any purpose with or without fee"]),
 ]
 RAREST = 8
-COMMON = 0.05
+#: Weight of a word that all documents have.
+FLOOR = 0.01
 MIN_SCORE = 0.6
 
 
@@ -45,13 +46,13 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def idf(docs: DataFrame, vocabulary: list[str], common: float) -> dict[str, float]:
+def idf(docs: DataFrame, vocabulary: list[str]) -> dict[str, float]:
     """Inverse document frequency of the licence words over all documents; one bounded row per word."""
     words = docs.select(F.array_intersect(_words(F.col("body")), F.array(*map(F.lit, vocabulary))).alias("w"))
     rows = words.select(F.explode(F.concat(F.array(F.lit("")), "w")).alias("word")).groupBy("word").count().collect()
     n = {r["word"]: r["count"] for r in rows}
     total = n.pop("", 0)
-    return {w: math.log((total + 1) / (n.get(w, 0) + 1)) for w in vocabulary if n.get(w, 0) <= max(common * total, 1)}
+    return {w: max(FLOOR, math.log((total + 1) / (n.get(w, 0) + 1))) for w in vocabulary}
 
 
 def _places(words: Column) -> Column:
@@ -71,13 +72,13 @@ def _places(words: Column) -> Column:
     return F.when(F.array_contains(words, F.lit("license")), F.filter(every, lambda x: x["label"].isNotNull())).otherwise(none)
 
 
-def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates=TEMPLATES, rarest: int = RAREST, common: float = COMMON, min_score: float = MIN_SCORE) -> DataFrame:
+def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates=TEMPLATES, rarest: int = RAREST, min_score: float = MIN_SCORE) -> DataFrame:
     """One row per document: key, n_words, places of the base phrases, labels and the best match's score."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body")).withColumn("same", F.xxhash64("body"))
     vocabulary = sorted({w for _, t, _ in templates for w in t.split()})
-    weight = idf(docs, vocabulary, common)
-    postings = [(w, k, i, weight[w]) for k, (_, t, _) in enumerate(templates) for i, w in enumerate(t.split()) if w in weight]
+    weight = idf(docs, vocabulary)
+    postings = [(w, k, i, weight[w]) for k, (_, t, _) in enumerate(templates) for i, w in enumerate(t.split())]
     words = docs.withColumn("w", _words(F.col("body")))
     base = words.select("key", "same", F.size("w").cast("long").alias("n_words"), _places(F.col("w")).alias("places"))
     if not postings:
@@ -104,21 +105,24 @@ def _aligned(spark, words: DataFrame, templates, postings, weight, rarest: int,
     index = F.broadcast(spark.range(1).select(F.inline(F.array(*entries))))
     by_weight = F.array(*(F.struct(F.lit(-v).alias("v"), F.lit(w).alias("word")) for w, v in weight.items()))
     rare = F.array(*map(F.lit, weight))
-    held = words.where(F.arrays_overlap("w", rare)).dropDuplicates(["key", "same"])
     # bound once as a variable, so that it isn't worked out again for every word
     present = F.array(F.array_intersect("w", rare))
+    # a key phrase's rarest word is looked for before the phrases
+    marks = sorted({max(p.split(), key=lambda w: (weight.get(w, math.inf), w)) for _, _, phrases in templates for p in phrases})
     top = F.transform(present, lambda p: F.slice(F.array_sort(F.filter(by_weight, lambda x: F.array_contains(p, x["word"]))), 1, rarest))[0]
     joined = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
     keyed = [F.when(F.greatest(*(F.contains(joined, F.lit(f" {p} ")) for p in phrases), F.lit(False)), F.lit(k)) for k, (_, _, phrases) in enumerate(templates)]
-    held = held.withColumn("top", top).select("key", "same", "w", F.col("top.word").alias("top"), F.array_compact(F.array(*keyed)).alias("keyed"))
-    places = held.where(F.size("keyed") > 0).select("key", "same", "top", "keyed", F.posexplode("w").alias("at", "word")).where(F.array_contains("top", F.col("word")))
+    held = words.where(F.arrays_overlap("w", F.array(*map(F.lit, marks)))).withColumn("keyed", F.array_compact(F.array(*keyed)))
+    held = held.where(F.size("keyed") > 0).dropDuplicates(["key", "same"])
+    held = held.withColumn("top", top).select("key", "same", "w", F.col("top.word").alias("top"), "keyed")
+    places = held.select("key", "same", "top", "keyed", F.posexplode("w").alias("at", "word")).where(F.array_contains("top", F.col("word")))
     hits = places.join(index, "word").where(F.array_contains("keyed", F.col("template")))
     sums = hits.groupBy("key", "same", "template", (F.col("at") - F.col("position")).alias("offset")).agg(F.sum("weight").alias("sum"), F.first("top").alias("top"))
     best = F.lit(None).cast("double")
     name = F.lit(None).cast("string")
     for k, (label, text, _) in enumerate(templates):
         # what the file's own rarest words could add up to in this template
-        full = sum((F.when(F.array_contains("top", F.lit(w)), F.lit(weight[w])).otherwise(F.lit(0.0)) for w in text.split() if w in weight), F.lit(0.0))
+        full = sum((F.when(F.array_contains("top", F.lit(w)), F.lit(weight[w])).otherwise(F.lit(0.0)) for w in text.split()), F.lit(0.0))
         best = F.when(F.col("template") == k, F.col("sum") / full).otherwise(best)
         name = F.when(F.col("template") == k, F.lit(label)).otherwise(name)
     scored = sums.select("key", "same", name.alias("name"), F.least(best, F.lit(1.0)).alias("score")).where(F.col("score") >= min_score)
