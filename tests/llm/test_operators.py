@@ -302,6 +302,14 @@ def test_licenses_in_a_third_of_the_rows(spark):
     assert got == {i: "cc-by-nc" if i % 3 == 0 else "" for i in range(60)}
 
 
+def test_licenses_of_one_file_apart(spark):
+    notices = {k: t for k, t, _ in licenses.TEMPLATES}
+    docs = [(1, licenses.TEMPLATES[1][1] + " and more words then " + notices["cc-by-nc"]), (2, "; ".join(t for _, t, _ in licenses.TEMPLATES))]
+    docs += [(10 + i, f"file {i} " + notices["cc-by-nc"]) for i in range(30)]
+    got = {r.doc_id: r.labels for r in licenses.scan(frame(spark, docs)).collect()}
+    assert got[1] == "cc-by-nc,mit" and got[2] == ",".join(sorted(notices))
+
+
 def test_urls(spark):
     queries.ensure_checkpoints(spark)
     rows = [(1, None), (2, ""), (3, "HTTP://A.COM/en/x?y"), (4, "x://com/en/"), (5, "a://sub.example.com/en/7#x"), (6, "h://?q"), (7, "h://xcom/en/"), (8, "a://net"), (9, "http://n.example.net/de/81"), (10, "http://N.net/de/81"), (10, "http://N.net/de/81"), (11, "http://k.org/es/"), (12, "http://k.org/es")]

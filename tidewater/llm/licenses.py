@@ -1,8 +1,9 @@
 """Licence scans by a positional index of rare licence words, in DataFrame functions only.
 
 The templates' words, with their document counts over the whole corpus, give each word an inverse
-document frequency, with a floor for words in nearly all of them.  A file's rarest
-licence words are looked up in the postings (word -> template, position); a template matches where
+document frequency, with a floor for words in nearly all of them.  Of each
+template with a key phrase in the file, the file's rarest words are looked up in the postings (word ->
+template, position); a template matches where
 several of its words agree on one relative position, weighted by their rarity, and counts only if
 one of its mandatory key phrases stands in the file.  Only files that hold a key phrase are
 exploded; their (file, template, offset) groups are summed before any shuffle.
@@ -103,20 +104,20 @@ def _aligned(spark, words: DataFrame, templates, postings, weight, rarest: int,
     # as many rows as the templates have words, whatever the corpus
     entries = [F.struct(F.lit(w).alias("word"), F.lit(k).alias("template"), F.lit(i).alias("position"), F.lit(v).alias("weight")) for w, k, i, v in postings]
     index = F.broadcast(spark.range(1).select(F.inline(F.array(*entries))))
-    by_weight = F.array(*(F.struct(F.lit(-v).alias("v"), F.lit(w).alias("word")) for w, v in weight.items()))
     rare = F.array(*map(F.lit, weight))
     # bound once as a variable, so that it isn't worked out again for every word
     present = F.array(F.array_intersect("w", rare))
     # a key phrase's rarest word is looked for before the phrases
     marks = sorted({max(p.split(), key=lambda w: (weight.get(w, math.inf), w)) for _, _, phrases in templates for p in phrases})
-    top = F.transform(present, lambda p: F.slice(F.array_sort(F.filter(by_weight, lambda x: F.array_contains(p, x["word"]))), 1, rarest))[0]
+    rarest_of = [sorted(set(t.split()), key=lambda w: (-weight[w], w)) for _, t, _ in templates]
+    tops = F.transform(present, lambda p: F.array(*(F.slice(F.filter(F.array(*map(F.lit, of)), lambda x: F.array_contains(p, x)), 1, rarest) for of in rarest_of)))[0]
     joined = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
     keyed = [F.when(F.greatest(*(F.contains(joined, F.lit(f" {p} ")) for p in phrases), F.lit(False)), F.lit(k)) for k, (_, _, phrases) in enumerate(templates)]
     held = words.where(F.arrays_overlap("w", F.array(*map(F.lit, marks)))).withColumn("keyed", F.array_compact(F.array(*keyed)))
     held = held.where(F.size("keyed") > 0).dropDuplicates(["key", "same"])
-    held = held.withColumn("top", top).select("key", "same", "w", F.col("top.word").alias("top"), "keyed")
-    places = held.select("key", "same", "top", "keyed", F.posexplode("w").alias("at", "word")).where(F.array_contains("top", F.col("word")))
-    hits = places.join(index, "word").where(F.array_contains("keyed", F.col("template")))
+    held = held.withColumn("tops", tops).select("key", "same", "w", "tops", "keyed")
+    places = held.select("key", "same", "tops", "keyed", F.posexplode("w").alias("at", "word"))
+    hits = places.join(index, "word").where(F.array_contains("keyed", F.col("template"))).withColumn("top", F.get("tops", F.col("template"))).where(F.array_contains("top", F.col("word")))
     sums = hits.groupBy("key", "same", "template", (F.col("at") - F.col("position")).alias("offset")).agg(F.sum("weight").alias("sum"), F.first("top").alias("top"))
     best = F.lit(None).cast("double")
     name = F.lit(None).cast("string")
