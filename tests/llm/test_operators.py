@@ -155,6 +155,23 @@ def test_large_buckets_keep_links_away_from_their_ends(spark, monkeypatch):
     assert {got[100 + i] for i in range(150)} == {100} and got[0] == 0 and got[999] == 999
 
 
+def test_similar_texts_of_unlike_length_share_bands():
+    import numpy as np
+
+    from tidewater.llm import textbuf as tb
+
+    idf, shared = np.ones(neardup.TABLE), 0
+    for seed in range(20):
+        a = " ".join([f"w{seed}x{i}" for i in range(20)] * 200)
+        b = a + " " + " ".join(f"new{seed}x{i}" for i in range(25))
+        assert neardup._Weighed(a, idf).similarity(neardup._Weighed(b, idf)) >= 0.8
+        data, off = np.frombuffer((a + b).encode(), np.uint8), np.array([0, len(a), len(a) + len(b)])
+        x, y = neardup.band_hashes(data, off, idf)
+        shared += len(np.intersect1d(x, y)) > 0
+    assert shared >= 19
+    assert tb.words(data, off)[0].size > 4000
+
+
 def test_sampling_estimates_similarity():
     import numpy as np
 
