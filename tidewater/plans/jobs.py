@@ -212,7 +212,7 @@ def _(t):
 def _(t):
     """Paths looked up a segment at a time, ignoring case."""
     asked = G.full_paths(t.tree).where("ref < 1100").select(F.upper("path").alias("asked"))
-    return G.walk(t.tree, asked, 3).select("ref", "asked")
+    return G.walk(t.tree, asked).select("ref", "asked")
 
 
 @query("collect_tree", f"WITH RECURSIVE {PATHS} SELECT DISTINCT ref FROM p WHERE path = 'ASIA' OR path LIKE 'ASIA/%' OR path LIKE 'AFRICA/KENYA%'")

@@ -333,4 +333,4 @@ CHAIN = "c AS (SELECT id, id AS root, CAST(1 AS BIGINT) AS length, parent IS NOT
 
 @query("provenance_chain", f"WITH RECURSIVE {CHAIN} SELECT id, root, length, gap FROM c")
 def _(t):
-    return G.chain_roots(t.turns, 64)
+    return G.chain_roots(t.turns)
