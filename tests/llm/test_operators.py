@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import sys
 import zlib
@@ -313,6 +314,50 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, docs[:0])).count() == 0
 
 
+def _plain_licences(docs):
+    """Every template tried at every offset of every text, by the rule of the docstring."""
+    words = [brute.words(t) for _, t in docs]
+    holds = lambda w, phrase: any(w[i : i + len(phrase)] == phrase for i in range(len(w) - len(phrase) + 1))
+    df = lambda x: sum(x in w for w in words)
+    weight = lambda x: max(licenses.FLOOR, math.log((len(docs) + 1) / (df(x) + 1)))
+    out = []
+    for (key, _), w in zip(docs, words):
+        base = {label for p, label in licenses.BASE.items() if holds(w, p.split())}
+        names, best = set(base), 1.0 if base else 0.0
+        for label, text, phrases in licenses.TEMPLATES:
+            t = text.split()
+            ranked = sorted(set(t), key=lambda x: (-weight(x), x))
+            top = [x for x in ranked if x in w][: licenses.RAREST]
+            if not any(holds(w, p.split()) for p in phrases):
+                continue
+            for offset in range(-len(t), len(w)):
+                on = [x for i, x in enumerate(t) if x in top and 0 <= i + offset < len(w) and w[i + offset] == x]
+                score = min(1.0, sum(weight(x) / t.count(x) for x in on) / sum(weight(x) for x in ranked[: licenses.RAREST]))
+                if len(on) >= min(licenses.AGREE, len(t)) and score >= licenses.MIN_SCORE:
+                    names.add(label)
+                    best = max(best, score)
+        out.append((key, ",".join(sorted(names)), round(best, 9)))
+    return out
+
+
+def test_licences_against_every_offset(spark):
+    rnd = random.Random(5)
+    texts = [t for _, t, _ in licenses.TEMPLATES]
+    docs = [(0, None), (1, ""), (2, "software mozilla public license x1"), (3, texts[8].upper())]
+    for i in range(4, 60):
+        parts = []
+        for t in rnd.sample(texts, rnd.randrange(4)):
+            w = [x for x in t.split() if rnd.random() < rnd.choice([1, 0.9, 0.6])]
+            parts += w + ["filler"] * rnd.randrange(6)
+        docs.append((i, " ".join(parts + [rnd.choice(["the", "license", "copy", "Ünrelated"]) for _ in range(rnd.randrange(30))])))
+    docs += [docs[20], docs[21], (7, docs[22][1])]
+    got = [(r.doc_id, r.labels, round(r.score, 9)) for r in licenses.scan(frame(spark, docs)).collect()]
+    assert sorted(got) == sorted(_plain_licences(docs))
+    assert next(r for r in got if r[0] == 2)[1] == "" and next(r for r in got if r[0] == 3)[1] == "mpl"
+    for one in [(1, texts[0]), (1, None), (1, "mit license")]:
+        assert [(r.doc_id, r.labels) for r in licenses.scan(frame(spark, [one])).collect()] == [_plain_licences([one])[0][:2]]
+
+
 def test_licenses_in_a_third_of_the_rows(spark):
     docs = [(i, f"file {i} " + ("Licensed under CC BY-NC 4.0" if i % 3 == 0 else "plain text")) for i in range(60)]
     got = {r.doc_id: r.labels for r in licenses.scan(frame(spark, docs)).collect()}
@@ -376,6 +421,45 @@ def test_classifiers(spark, op, which):
     assert op.classify(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_against_plain_windows(spark):
+    import numpy as np
+    import zstandard as zs
+
+    docs, labels, _ = _labelled(spark, 12, 200)
+    docs = docs.unionByName(frame(spark, [(2000, "é" * 5000), (2001, "a"), (2002, "The vilecreature " * 3000)]))
+    model = toxicity.fit(docs, labels)
+    settings = zs.ZstdCompressionParameters(**toxicity.Coder.SETTINGS)
+    size = [zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(d, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=settings) for d in (model.ordinary, model.toxic + model.ordinary)]
+
+    def plain(text):
+        data, at, total = (text or "").translate(brute.LOW).encode(), 0, 0
+        while data:
+            w = data[at : at + toxicity.WINDOW]
+            saved = len(size[0].compress(w)) - len(size[1].compress(w))
+            total += round(1024 * float(model.evidence[max(-toxicity.LEAST, min(toxicity.MOST, saved)) + toxicity.LEAST]))
+            if at + toxicity.WINDOW >= len(data):
+                break
+            at += toxicity.STEP
+        below = [c for level, c in zip(model.levels, model.chances) if level <= round(total / 256)]
+        return below[-1] if below else model.chances[0]
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == len(texts) and all(r.score == plain(texts[r.doc_id]) for r in got)
+    assert {r.doc_id for r in toxicity.keep_clean(docs, model).collect()} == {r.doc_id for r in got if r.score < 0.7}
+    # pooled adjacent violators: the highest, over starts up to x, of the lowest mean to an end from x on
+    x, y = np.array([1, 1, 2, 3, 3, 4, 6, 6]), np.array([0, 1, 0, 1, 0, 0, 1, 1])
+    weight = np.where(y == 1, 1.0, 2.0)
+    mean = lambda a, b: (weight * y)[(x >= a) & (x <= b)].sum() / weight[(x >= a) & (x <= b)].sum()
+    levels, chances = toxicity.isotonic(x, y, weight)
+    for v in x:
+        want = max(min(mean(a, b) for b in x if b >= v) for a in x if a <= v)
+        assert abs(chances[np.searchsorted(levels, v, side="right") - 1] - want) < 1e-12
+    # a string that two texts share is left out of training, one that a text repeats isn't
+    shared, again = b"0123456789abcdefghijklmnopqrstuvwxyz", b"once upon a time there was a text that said so "
+    assert toxicity.own_pieces([b"x" * 20 + shared, shared + b"y" * 20, again * 2, b""]) == [[b"x" * 20], [b"y" * 20], [again * 2], []]
+
+
 def test_interactions_in_linear_time():
     import numpy as np
 

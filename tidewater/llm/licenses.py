@@ -1,17 +1,18 @@
 """Licence scans by a positional index of rare licence words, in DataFrame functions only.
 
-The templates' words, with their document counts over the whole corpus, give each word an inverse
-document frequency, with a floor for words in nearly all of them.  Of each
-template with a key phrase in the file, the file's rarest words are looked up in the postings (word ->
-template, position); a template matches where
-several of its words agree on one relative position, weighted by their rarity, and counts only if
-one of its mandatory key phrases stands in the file.  Only files that hold a key phrase are
-exploded; their (file, template, offset) groups are summed before any shuffle.
-
-Beside that, the base phrases are counted exactly in every file.
-
-Defined cases: a null or empty text has no words and no labels; rows that repeat an id and a text
-get equal rows; rows that repeat an id with another text are judged apart; a null id is kept.
+One pass over the texts splits them into words and writes, in the shared folder, a small row for each:
+its number of words, the places of the base phrases, the licence words and the key phrases that it
+holds, and all its words only where it holds a key phrase.  From that table each licence word gets an
+inverse document frequency over the whole corpus, with a floor for words in nearly all documents.
+
+Of each template with a key phrase in the file, the file's rarest words are looked up in the postings
+(word -> template, position).  A template matches where at least AGREE of them agree on one relative
+position and their weight is a share of at least MIN_SCORE of its own rarest words.  Equal texts are
+aligned once, and (text, template, offset) groups are summed before any shuffle.
+
+Defined cases: a null or empty text has no words and no labels; rows that repeat an id are judged by
+their own texts; a null id is kept; of words of equal frequency the alphabetically smaller comes
+first; very long texts are one row each, like any other; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+from .shared import shared_dir
+
+#: What stands between words, which are runs of ASCII digits and letters and of all other characters.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Places of these phrases are counted and labelled by contract.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Fixed values: (label, opening words of the licence or its usual notice, mandatory key phrases).
@@ -38,22 +43,19 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["distribute this software for any purpose with or without fee"]),
 ]
 RAREST = 8
+#: Words that must agree on a position; all of a template with fewer.
+AGREE = 3
 #: Weight of a word that all documents have.
 FLOOR = 0.01
 MIN_SCORE = 0.6
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(text, UPPER, UPPER.lower()), BETWEEN), "")
 
 
-def idf(docs: DataFrame, vocabulary: list[str]) -> dict[str, float]:
-    """Inverse document frequency of the licence words over all documents; one bounded row per word."""
-    words = docs.select(F.array_intersect(_words(F.col("body")), F.array(*map(F.lit, vocabulary))).alias("w"))
-    rows = words.select(F.explode(F.concat(F.array(F.lit("")), "w")).alias("word")).groupBy("word").count().collect()
-    n = {r["word"]: r["count"] for r in rows}
-    total = n.pop("", 0)
-    return {w: max(FLOOR, math.log((total + 1) / (n.get(w, 0) + 1))) for w in vocabulary}
+def _literals(words) -> Column:
+    return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
 
 
 def _places(words: Column) -> Column:
@@ -73,58 +75,76 @@ def _places(words: Column) -> Column:
     return F.when(F.array_contains(words, F.lit("license")), F.filter(every, lambda x: x["label"].isNotNull())).otherwise(none)
 
 
+def _keyed(words: Column, templates) -> Column:
+    """The numbers of the templates of which a key phrase stands among the words."""
+    joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    found = [F.when(F.greatest(*(F.contains(joined, F.lit(f" {p} ")) for p in phrases), F.lit(False)), F.lit(k)) for k, (_, _, phrases) in enumerate(templates)]
+    # a word of each phrase is looked for before the phrases: the longest, as the frequencies aren't known yet
+    marks = sorted({max(p.split(), key=lambda w: (len(w), w)) for _, _, phrases in templates for p in phrases})
+    none = F.array().cast("array<int>")
+    return F.when(F.arrays_overlap(words, _literals(marks)), F.array_compact(F.array(*found)) if found else none).otherwise(none)
+
+
+def _digested(docs: DataFrame, key: str, text: str, templates, vocabulary: list[str]) -> DataFrame:
+    """The one pass over the texts: (key, same, n_words, places, present, keyed, w), written in the shared folder."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    rows = rows.select("key", F.unhex(F.md5("body")).alias("same"), _words(F.col("body")).alias("w"))
+    rows = rows.select("*", _keyed(F.col("w"), templates).alias("keyed"))
+    rows = rows.select(
+        "key", "same", F.size("w").cast("long").alias("n_words"), _places(F.col("w")).alias("places"),
+        F.array_intersect("w", _literals(vocabulary)).alias("present"), "keyed", F.when(F.size("keyed") > 0, F.col("w")).alias("w"),
+    )
+    path = shared_dir(docs.sparkSession, "licences")
+    rows.write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def idf(present: DataFrame, vocabulary: list[str]) -> dict[str, float]:
+    """Inverse document frequency of the licence words over all documents; one bounded row per word."""
+    rows = present.select(F.explode(F.concat(F.array(F.lit("")), "present")).alias("word")).groupBy("word").count().collect()
+    n = {r["word"]: r["count"] for r in rows}
+    total = n.pop("", 0)
+    return {w: max(FLOOR, math.log((total + 1) / (n.get(w, 0) + 1))) for w in vocabulary}
+
+
 def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates=TEMPLATES, rarest: int = RAREST, min_score: float = MIN_SCORE) -> DataFrame:
     """One row per document: key, n_words, places of the base phrases, labels and the best match's score."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body")).withColumn("same", F.xxhash64("body"))
     vocabulary = sorted({w for _, t, _ in templates for w in t.split()})
-    weight = idf(docs, vocabulary)
-    postings = [(w, k, i, weight[w]) for k, (_, t, _) in enumerate(templates) for i, w in enumerate(t.split())]
-    words = docs.withColumn("w", _words(F.col("body")))
-    base = words.select("key", "same", F.size("w").cast("long").alias("n_words"), _places(F.col("w")).alias("places"))
-    if not postings:
-        found = spark.range(0).select(F.col("id").alias("key"), F.col("id").alias("same"), F.array().cast("array<string>").alias("names"), F.lit(0.0).alias("score"))
-    else:
-        found = _aligned(spark, words, templates, postings, weight, rarest, min_score)
-    join = base["key"].eqNullSafe(found["key"]) & (base["same"] == found["same"])
-    out = base.join(found, join, "left").select(base["key"], "n_words", "places", "names", "score")
-    labels = F.array_distinct(F.col("places.label"))
+    rows = _digested(docs, key, text, templates, vocabulary)
+    base = rows.select("key", "same", "n_words", "places", "keyed")
     none = F.array().cast("array<string>")
-    return out.select(
+    plain = base.where(F.size("keyed") == 0).select("key", "n_words", "places", none.alias("names"), F.lit(0.0).alias("score"))
+    if templates:
+        found = _aligned(rows.where(F.size("keyed") > 0), templates, idf(rows, vocabulary), rarest, min_score)
+        held = base.where(F.size("keyed") > 0).join(found, "same", "left")
+        plain = plain.unionByName(held.select("key", "n_words", "places", F.coalesce("names", none).alias("names"), F.coalesce("score", F.lit(0.0)).alias("score")))
+    labels = F.array_distinct(F.col("places.label"))
+    return plain.select(
         F.col("key").alias(key), "n_words", F.size("places").cast("long").alias("n_base"),
         F.array_min("places.at").alias("first_word"), F.array_max("places.at").alias("last_word"),
         F.array_join(F.array_sort(labels), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(labels, F.coalesce("names", none))), ",").alias("labels"),
-        F.greatest(F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.lit(0.0)), F.coalesce("score", F.lit(0.0))).alias("score"),
+        F.array_join(F.array_sort(F.array_union(labels, "names")), ",").alias("labels"),
+        F.greatest(F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.lit(0.0)), "score").alias("score"),
     )
 
 
-def _aligned(spark, words: DataFrame, templates, postings, weight, rarest: int, min_score: float) -> DataFrame:
-    """(key, same, names, score) of the files in which a template's rare words agree on a position and a key phrase stands."""
-    # as many rows as the templates have words, whatever the corpus
-    entries = [F.struct(F.lit(w).alias("word"), F.lit(k).alias("template"), F.lit(i).alias("position"), F.lit(v).alias("weight")) for w, k, i, v in postings]
+def _aligned(held: DataFrame, templates, weight: dict[str, float], rarest: int, min_score: float) -> DataFrame:
+    """(same, names, score) of the texts in which a template's rare words agree on a position and a key phrase stands."""
+    spark = held.sparkSession
+    # as many rows as the templates have words, whatever the corpus; a word's weight is shared by its places in a template
+    entries = [F.struct(F.lit(w).alias("word"), F.lit(k).alias("template"), F.lit(i).alias("position"), F.lit(weight[w] / t.split().count(w)).alias("weight")) for k, (_, t, _) in enumerate(templates) for i, w in enumerate(t.split())]
     index = F.broadcast(spark.range(1).select(F.inline(F.array(*entries))))
-    rare = F.array(*map(F.lit, weight))
-    # bound once as a variable, so that it isn't worked out again for every word
-    present = F.array(F.array_intersect("w", rare))
-    # a key phrase's rarest word is looked for before the phrases
-    marks = sorted({max(p.split(), key=lambda w: (weight.get(w, math.inf), w)) for _, _, phrases in templates for p in phrases})
-    rarest_of = [sorted(set(t.split()), key=lambda w: (-weight[w], w)) for _, t, _ in templates]
-    tops = F.transform(present, lambda p: F.array(*(F.slice(F.filter(F.array(*map(F.lit, of)), lambda x: F.array_contains(p, x)), 1, rarest) for of in rarest_of)))[0]
-    joined = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
-    keyed = [F.when(F.greatest(*(F.contains(joined, F.lit(f" {p} ")) for p in phrases), F.lit(False)), F.lit(k)) for k, (_, _, phrases) in enumerate(templates)]
-    held = words.where(F.arrays_overlap("w", F.array(*map(F.lit, marks)))).withColumn("keyed", F.array_compact(F.array(*keyed)))
-    held = held.where(F.size("keyed") > 0).dropDuplicates(["key", "same"])
-    held = held.withColumn("tops", tops).select("key", "same", "w", "tops", "keyed")
-    places = held.select("key", "same", "tops", "keyed", F.posexplode("w").alias("at", "word"))
-    hits = places.join(index, "word").where(F.array_contains("keyed", F.col("template"))).withColumn("top", F.get("tops", F.col("template"))).where(F.array_contains("top", F.col("word")))
-    sums = hits.groupBy("key", "same", "template", (F.col("at") - F.col("position")).alias("offset")).agg(F.sum("weight").alias("sum"), F.first("top").alias("top"))
-    best = F.lit(None).cast("double")
-    name = F.lit(None).cast("string")
+    ranked = [sorted(set(t.split()), key=lambda w: (-weight[w], w)) for _, t, _ in templates]
+    tops = F.array(*(F.slice(F.array_intersect(_literals(of), "present"), 1, rarest) for of in ranked))
+    texts = held.groupBy("same").agg(F.first("w").alias("w"), F.first("present").alias("present"), F.first("keyed").alias("keyed"))
+    places = texts.select("same", "keyed", tops.alias("tops"), F.posexplode("w").alias("at", "word"))
+    hits = places.join(index, "word").where(F.array_contains("keyed", F.col("template")) & F.array_contains(F.get("tops", F.col("template")), F.col("word")))
+    sums = hits.groupBy("same", "template", (F.col("at") - F.col("position")).alias("offset")).agg(F.sum("weight").alias("sum"), F.count("*").alias("agree"))
+    name, full, least = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("int")
     for k, (label, text, _) in enumerate(templates):
-        # what the file's own rarest words could add up to in this template
-        full = sum((F.when(F.array_contains("top", F.lit(w)), F.lit(weight[w])).otherwise(F.lit(0.0)) for w in text.split()), F.lit(0.0))
-        best = F.when(F.col("template") == k, F.col("sum") / full).otherwise(best)
-        name = F.when(F.col("template") == k, F.lit(label)).otherwise(name)
-    scored = sums.select("key", "same", name.alias("name"), F.least(best, F.lit(1.0)).alias("score")).where(F.col("score") >= min_score)
-    return scored.groupBy("key", "same").agg(F.collect_set("name").alias("names"), F.max("score").alias("score"))
+        on = F.col("template") == k
+        name = F.when(on, F.lit(label)).otherwise(name)
+        full = F.when(on, F.lit(float(sum(weight[w] for w in ranked[k][:rarest])))).otherwise(full)
+        least = F.when(on, F.lit(min(AGREE, len(text.split())))).otherwise(least)
+    scored = sums.where(F.col("agree") >= least).select("same", name.alias("name"), F.least(F.col("sum") / full, F.lit(1.0)).alias("score")).where(F.col("score") >= min_score)
+    return scored.groupBy("same").agg(F.collect_set("name").alias("names"), F.max("score").alias("score"))
