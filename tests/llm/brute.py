@@ -1,6 +1,8 @@
 """Plain versions of the contracts, for small tables."""
 
+import math
 import re
+from collections import Counter
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -47,12 +49,19 @@ def repeats(docs):
     return out
 
 
-def near_classes(docs, similarity=0.8):
-    """Class (smallest id) of each document by plain Jaccard of five-word shingles and equal texts."""
-    sets = {}
+def near_classes(docs, similarity=0.8, floor=0.5, rare=1000):
+    """Class (smallest id) of each document by weighted Jaccard of five-word shingles, and equal texts.
+
+    A shingle weighs 1 + ln(its count), times floor + (1 - floor) * ln((n + 1) / df) / ln(min(n + 1, rare)).
+    """
+    bags, df = {}, Counter()
     for k, t in docs:
         w = words(t)
-        sets[k] = frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset([("text", t or "")])
+        bags[k] = Counter(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter([("text", t or "")])
+        df.update(set(bags[k]))
+    n = len(docs)
+    idf = {x: floor + (1 - floor) * min(1, math.log((n + 1) / c) / math.log(min(n + 1, rare))) for x, c in df.items()}
+    sets = {k: {x: (1 + math.log(c)) * idf[x] for x, c in b.items()} for k, b in bags.items()}
     parent = {k: k for k in sets}
 
     def find(x):
@@ -63,8 +72,8 @@ def near_classes(docs, similarity=0.8):
     keys = sorted(sets)
     for i, a in enumerate(keys):
         for b in keys[i + 1 :]:
-            both = len(sets[a] & sets[b])
-            if both and both / (len(sets[a]) + len(sets[b]) - both) >= similarity:
+            both = sum(min(v, sets[b][x]) for x, v in sets[a].items() if x in sets[b])
+            if both and both / (sum(sets[a].values()) + sum(sets[b].values()) - both) >= similarity:
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     return {k: find(k) for k in keys}

@@ -110,7 +110,7 @@ def test_repeats_with_versions_and_repeated_rows(spark):
 def test_near_duplicates(spark):
     docs = texts(2, 60)
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(frame(spark, docs)).collect()}
-    want = brute.near_classes(dict(docs).items())
+    want = brute.near_classes(docs)
     differ = {k for k in want if got[k] != want[k]}
     assert not differ
     kept = neardup.deduplicate(frame(spark, docs))
