@@ -136,8 +136,10 @@ def _aligned(held: DataFrame, templates, weight: dict[str, float], rarest: int,
     index = F.broadcast(spark.range(1).select(F.inline(F.array(*entries))))
     ranked = [sorted(set(t.split()), key=lambda w: (-weight[w], w)) for _, t, _ in templates]
     tops = F.array(*(F.slice(F.array_intersect(_literals(of), "present"), 1, rarest) for of in ranked))
-    texts = held.groupBy("same").agg(F.first("w").alias("w"), F.first("present").alias("present"), F.first("keyed").alias("keyed"))
-    places = texts.select("same", "keyed", tops.alias("tops"), F.posexplode("w").alias("at", "word"))
+    # worked out below the aggregation, so that it isn't again for every word
+    held = held.select("same", "w", "keyed", tops.alias("tops"))
+    texts = held.groupBy("same").agg(F.first("w").alias("w"), F.first("tops").alias("tops"), F.first("keyed").alias("keyed"))
+    places = texts.select("same", "keyed", "tops", F.posexplode("w").alias("at", "word"))
     hits = places.join(index, "word").where(F.array_contains("keyed", F.col("template")) & F.array_contains(F.get("tops", F.col("template")), F.col("word")))
     sums = hits.groupBy("same", "template", (F.col("at") - F.col("position")).alias("offset")).agg(F.sum("weight").alias("sum"), F.count("*").alias("agree"))
     name, full, least = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("int")
