@@ -39,10 +39,13 @@ def test_config():
 def test_tree_scan_prunes_bytes(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.txt").write_bytes(b"abc")
+    (tmp_path / "sub" / "deep").mkdir()
     (tmp_path / "sub" / "b.bin").write_bytes(b"12")
+    (tmp_path / "sub" / "deep" / "empty").write_bytes(b"")
     found = polling.scan(spark, f"file://{tmp_path}")
-    assert {(r.path.rsplit("/", 1)[1], r["size"]) for r in found.collect()} == {("a.txt", 3), ("b.bin", 2)}
-    assert "content" not in found._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+    rows = found.collect()
+    assert {(r.path.rsplit("/", 1)[1], r["size"]) for r in rows} == {("a.txt", 3), ("b.bin", 2), ("empty", 0)}
+    assert all(r.mtime > polling.EPOCH for r in rows)
     assert polling.poll(found, None).count() == 0
 
 
@@ -67,13 +70,13 @@ def _stream(spark):
 
 def test_debounce_stream_equals_batch_for_closed_sessions(spark, tmp_path):
     batch = {tuple(r) for r in E.debounce(_feed(spark), "path", "1 hour").collect()}
-    got = {tuple(r) for r in E.run_available(E.debounce_stream(_stream(spark), "path", "1 hour", "10 minutes"), "append", str(tmp_path), "t_debounce").collect()}
+    got = {tuple(r) for r in E.run_available(E.debounce_stream(_stream(spark), "path", "1 hour", "10 minutes"), f"file://{tmp_path}").collect()}
     assert got <= batch and len(got) > 0.8 * len(batch)
 
 
 def test_spike_stream_latches(spark, tmp_path):
     span, wire = 86400, 3
-    got = {(r.path, r.event_id) for r in E.run_available(E.spike_stream(_stream(spark), "path", span, wire), "append", str(tmp_path), "t_spike").collect()}
+    got = {(r.path, r.event_id) for r in E.run_available(E.spike_stream(_stream(spark), "path", span, wire), f"file://{tmp_path}").collect()}
     want, state = set(), {}
     for r in _feed(spark).orderBy("ts", "event_id").collect():
         recent, held = state.get(r.path, ([], False))

@@ -65,15 +65,17 @@ def batch_probe(deletes: DataFrame) -> DataFrame:
 
 
 def delete_guard(probe: DataFrame, *, count: int, gigabytes: float, percent: float) -> DataFrame:
-    """Why a batch is held, in the guard's order: count, bytes, dead rows in the baseline, percent of a baseline over 50."""
+    """Why a batch is held, in the guard's order: count, bytes, an unknown baseline, percent of a baseline over 50.
+
+    A batch held by percent that exceeds its baseline is marked as one with dead rows.
+    """
     size = F.lit(int(gigabytes * (1 << 30)))
     share = F.lit(100.0) * F.col("files") / F.col("baseline")
     reason = (
         F.when(F.lit(count > 0) & (F.col("files") >= count), "count")
         .when(F.lit(gigabytes > 0) & (F.col("bytes") >= size), "bytes")
         .when(F.lit(percent > 0) & F.col("baseline").isNull(), "unknown-baseline")
-        .when(F.lit(percent > 0) & (F.col("files") > F.col("baseline")), "dead-rows")
-        .when(F.lit(percent > 0) & (F.col("baseline") > 50) & (share >= percent), "percent")
+        .when(F.lit(percent > 0) & (F.col("baseline") > 50) & (share >= percent), F.when(F.col("files") > F.col("baseline"), "percent-dead-rows").otherwise("percent"))
     )
     return probe.select("batch", "files", "bytes", reason.alias("reason"))
 
@@ -91,11 +93,16 @@ def bulk_cleanup(located: DataFrame, percent: float, least: int = 10) -> DataFra
 
 
 def spike_guard(events: DataFrame, key: str, seconds: int, *, files: int = 0, size: int = 0, renames: int = 0) -> DataFrame:
-    """Sums over the window up to each event (both ends count; equal times count together), and whether a wire trips.  A wire of zero or less is off."""
+    """Sums over the window that ends with each event (both ends count), and whether a wire trips.  A wire of zero or less is off.
+
+    Events come in the order of time and id: those of the same time that come later don't count yet.
+    """
     t = F.unix_micros(F.col("ts").cast("timestamp"))
     w = Window.partitionBy(key).orderBy("us").rangeBetween(-seconds * 1_000_000, 0)
-    df = events.withColumn("us", t)
-    df = df.select(key, "event_id", F.count("*").over(w).alias("files"), F.sum("bytes").over(w).alias("bytes"), F.sum((F.col("change_type") == "Renamed").cast("long")).over(w).alias("renames"))
+    later = Window.partitionBy(key, "us").orderBy(F.col("event_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: (F.sum(c).over(w) - F.coalesce(F.sum(c).over(later), F.lit(0)))
+    df = events.withColumn("us", t).withColumn("one", F.lit(1).cast("long")).withColumn("rename", (F.col("change_type") == "Renamed").cast("long"))
+    df = df.select(key, "event_id", so_far("one").alias("files"), so_far("bytes").alias("bytes"), so_far("rename").alias("renames"))
     trip = F.lit(False)
     for c, wire in (("files", files), ("bytes", size), ("renames", renames)):
         if wire > 0:
@@ -159,11 +166,16 @@ def hold_summary(holds: DataFrame, pending: DataFrame) -> DataFrame:
     return holds.join(pending.groupBy("batch_id").agg(F.count("*").alias("files"), F.count_if("claimed").alias("claimed")), "batch_id").select("batch_id", "blocked_at", "files", "claimed")
 
 
-def next_due(holds: DataFrame, hold_ticks: int, warn_ticks: int, now: int) -> DataFrame:
-    """The earliest moment at which some batch expires, or is due a warning before that."""
+def next_due(holds: DataFrame, hold_ticks: int, warn_ticks: int, now: int, by: str) -> DataFrame:
+    """For each pipeline, the earliest moment at which some batch expires or, before that, is due a warning; never before now.
+
+    A batch that was never warned about (no time, or time 0) is due one now.
+    """
     expiry = F.col("blocked_at") + hold_ticks
-    due = F.when(expiry <= now, expiry).otherwise(F.least(expiry, F.col("last_warning_at") + warn_ticks))
-    return holds.agg(F.min(due).alias("next_due"))
+    never = F.coalesce(F.col("last_warning_at"), F.lit(0)) == 0
+    warn = F.when(never, F.lit(now).cast("long")).otherwise(F.col("last_warning_at") + warn_ticks)
+    due = F.when(expiry > now, F.least(expiry, warn)).otherwise(expiry)
+    return holds.groupBy(by).agg(F.greatest(F.min(due), F.lit(now).cast("long")).alias("next_due"))
 
 
 def hold_clock(holds: DataFrame, pending: DataFrame, existing: DataFrame, now: int, hold_ticks: int) -> DataFrame:
@@ -176,39 +188,44 @@ def hold_clock(holds: DataFrame, pending: DataFrame, existing: DataFrame, now: i
 # schedules
 
 
-def due(now: Column, last: Column, kind: str, *, hour: int = 0, minute: int = 0, weekday: int = 0, day: int = 1, mask: int = 127, seconds: int = 0, catch_up: bool = True) -> Column:
-    """Whether a job is due: the latest moment it should have run lies after its last run.
+def due(now: Column, last: Column, kind: str, *, hour: int = 0, minute: int = 0, weekday: int = 0, day: int = 1, mask: int = 127, seconds: int = 0, run_date: Column | None = None, catch_up: bool = True) -> Column:
+    """Whether a job is due; days are compared, so that a run earlier on a day satisfies that day's moment.
 
-    Without catch-up the moment must lie within the current day (interval jobs: within one span).
+    A missed moment stays due, and a missed daily one from the second day on; without catch-up only a
+    moment reached today counts.  An interval job is due once its span has passed.
     """
-    at = lambda date: F.date_trunc("day", date) + F.make_interval(hours=F.lit(hour), mins=F.lit(minute))
+    midnight = lambda ts: F.date_trunc("day", ts)
+    at = lambda ts: midnight(ts) + F.make_interval(hours=F.lit(hour), mins=F.lit(minute))
     back = lambda ts, n: ts - F.make_interval(days=n)
+    never, today, reached = last.isNull(), midnight(now), now >= at(now)
+    not_today = never | (last < today)
     if kind == "interval":
-        late = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(last.cast("timestamp"))
-        return last.isNull() | (late >= seconds if catch_up else (late >= seconds) & (late < 2 * seconds))
+        return never | (F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(last.cast("timestamp")) >= seconds)
     if kind == "once":
-        return last.isNull() & (now >= at(now))
+        ok = never & (now >= at(run_date))
+        return ok if catch_up else ok & (midnight(run_date) == today)
     if kind == "daily":
-        slot = F.when(now >= at(now), at(now)).otherwise(back(at(now), F.lit(1)))
-    elif kind == "weekly":
+        return not_today & (reached | never | (last < back(today, F.lit(1)))) if catch_up else not_today & reached
+    if kind == "weekly":
         since = F.pmod(F.dayofweek(now) - 1 - weekday, F.lit(7))
-        slot = back(at(now), since)
+        slot, on_day = back(at(now), since), since == 0
         slot = F.when(now >= slot, slot).otherwise(back(slot, F.lit(7)))
     elif kind == "weekdays":
-        slot = F.lit(None).cast("timestamp_ntz")
+        on = lambda ts: F.element_at(F.array(*(F.lit(bool(mask >> k & 1)) for k in range(7))), F.dayofweek(ts))
+        slot, on_day = F.lit(None).cast("timestamp_ntz"), on(now)
         for n in range(7, -1, -1):
             moment = back(at(now), F.lit(n))
-            on = F.element_at(F.array(*(F.lit(bool(mask >> k & 1)) for k in range(7))), F.dayofweek(moment))
-            slot = F.when((now >= moment) & on, moment).otherwise(slot)
+            slot = F.when((now >= moment) & on(moment), moment).otherwise(slot)
     elif kind == "monthly":
         clamp = lambda d: F.make_date(F.year(d), F.month(d), F.least(F.lit(day), F.dayofmonth(F.last_day(d))))
         this = at(clamp(now).cast("timestamp_ntz"))
         before = at(clamp(F.add_months(now, -1)).cast("timestamp_ntz"))
-        slot = F.when(now >= this, this).otherwise(before)
+        slot, on_day = F.when(now >= this, this).otherwise(before), midnight(this) == today
     else:
         raise ValueError(kind)
-    ok = last.isNull() | (last < slot)
-    return ok if catch_up else ok & (F.date_trunc("day", slot) == F.date_trunc("day", now))
+    if not catch_up:
+        return on_day & not_today & reached
+    return F.coalesce(never | (midnight(last) < midnight(slot)), F.lit(False)) & slot.isNotNull()
 
 
 def overlap(running: Column, policy: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .present import prefix_sum
+
 #: Attribute bits of files that are only placeholders (fixed values): offline, recall on open, recall on access.
 PLACEHOLDER = 0x1000 | 0x40000 | 0x400000
 
@@ -74,20 +76,31 @@ def random_sample(df: DataFrame, n: int, seed: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), "path"), "path").limit(n)
 
 
-def prune_oldest(generations: DataFrame, budget: int) -> DataFrame:
-    """The shortest run of oldest prunable generations (generation, bytes, freed) whose removal brings the store within its budget."""
-    total = generations.agg(F.sum("bytes").alias("total"))
-    w = Window.orderBy("generation").rowsBetween(Window.unboundedPreceding, -1)
-    g = generations.crossJoin(F.broadcast(total)).withColumn("before", F.coalesce(F.sum("freed").over(w), F.lit(0)))
-    return g.where(F.col("total") - F.col("before") > budget).select("generation")
+def prune_oldest(entries: DataFrame, budget: int, span: int = 4096) -> DataFrame:
+    """The shortest run of oldest generations whose removal brings the store within its budget, never the newest one.
+
+    A generation frees the digests that no later one holds.  Sums run by spans of generations, so that
+    no task sees all of them.
+    """
+    sizes = entries.where("NOT is_hole").groupBy("digest").agg(F.max("size").alias("size"), F.max("generation").alias("generation"))
+    freed = sizes.groupBy("generation").agg(F.sum("size").alias("freed"))
+    g = entries.select("generation").distinct().join(freed, "generation", "left").withColumn("freed", F.coalesce("freed", F.lit(0)).cast("long"))
+    g = prefix_sum(g, F.floor(F.col("generation") / span), ["generation"], "freed", "before", inclusive=False)
+    total = g.agg(F.sum("freed").alias("total"), F.max("generation").alias("newest"))
+    return g.crossJoin(F.broadcast(total)).where((F.col("total") - F.col("before") > budget) & (F.col("generation") < F.col("newest"))).select("generation")
 
 
 def vcn_to_lcn(runs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Clusters of a file (file, vcn) on the volume, by runs (file, seq, lcn, count); sparse runs (lcn < 0) give null."""
+    """Clusters of a file (file, vcn) on the volume, by runs (file, seq, lcn, count); sparse runs (lcn < 0) give null.
+
+    Runs and questions stand in one order, and the last run that starts at or before a cluster may hold it.
+    """
     w = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    r = runs.withColumn("first", F.coalesce(F.sum("count").over(w), F.lit(0)))
-    hit = wanted.join(r, "file").where((F.col("vcn") >= F.col("first")) & (F.col("vcn") < F.col("first") + F.col("count")))
-    return hit.select("file", "vcn", F.when(F.col("lcn") >= 0, F.col("lcn") + F.col("vcn") - F.col("first")).alias("lcn"))
+    r = runs.withColumn("at", F.coalesce(F.sum("count").over(w), F.lit(0))).select("file", "at", F.struct(F.col("at").alias("first"), "count", "lcn").alias("run"))
+    asked = wanted.select("file", F.col("vcn").alias("at"), F.lit(None).cast(r.schema["run"].dataType).alias("run"))
+    order = Window.partitionBy("file").orderBy("at", F.col("run").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    hit = r.unionByName(asked).withColumn("held", F.last("run", True).over(order)).where(F.col("run").isNull() & (F.col("at") < F.col("held.first") + F.col("held.count")))
+    return hit.select("file", F.col("at").alias("vcn"), F.when(F.col("held.lcn") >= 0, F.col("held.lcn") + F.col("at") - F.col("held.first")).alias("lcn"))
 
 
 def crash_recovery(temps: DataFrame, source: DataFrame, dest: DataFrame) -> DataFrame:
@@ -108,3 +121,20 @@ def key_value_lines(df: DataFrame, text: str) -> DataFrame:
 def adopt_batches(rows: DataFrame) -> DataFrame:
     """Of each path in old batch files, the one with the smallest file name."""
     return rows.groupBy("path").agg(F.min_by("clock", "file").alias("clock"), F.min("file").alias("file"))
+
+
+ROTATION = "SchemaVersion int, Drives array<struct<Id: string, Label: string, LastSeenUtc: string, LastBackupUtc: string>>"
+
+
+def rotation_state(files: DataFrame, key: str, json: str, version: int = 1) -> DataFrame:
+    """(key, id, label, last_backup) of the drives in each store's rotation file.
+
+    No file is a state without drives; text that is no JSON, or of a newer schema, is an error.
+    """
+    state = F.from_json(json, ROTATION)
+    s = files.where(F.col(json).isNotNull()).select(key, F.col(json).alias("raw"), state.alias("state"))
+    bad = F.col("state").isNull() | (F.col("state.SchemaVersion").isNull() & F.col("state.Drives").isNull())
+    newer = F.coalesce(F.col("state.SchemaVersion"), F.lit(1)) > version
+    drives = F.when(bad, F.raise_error(F.concat(F.lit("rotation state is not valid JSON: "), F.col("raw")))).when(newer, F.raise_error(F.concat(F.lit("rotation state has schema version "), F.col("state.SchemaVersion").cast("string")))).otherwise(F.col("state.Drives"))
+    d = s.select(key, F.explode(drives).alias("d"))
+    return d.select(key, F.col("d.Id").alias("id"), F.col("d.Label").alias("label"), F.try_to_timestamp(F.regexp_replace(F.nullif("d.LastBackupUtc", F.lit("")), "Z$", ""), F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz").alias("last_backup"))

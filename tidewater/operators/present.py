@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,16 @@ def global_index(df: DataFrame, order: str, partitions: int) -> DataFrame:
     starts = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     place = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1
     return dealt.withColumn("place", place).join(F.broadcast(starts), "range").withColumn("index", (F.col("start") + F.col("place")).cast("long")).drop("range", "place", "start")
+
+
+def prefix_sum(df: DataFrame, bucket: Column, order: list[str], value: str, name: str, *, inclusive: bool = True) -> DataFrame:
+    """Sums of a column over all rows up to each one in an order that buckets follow, without one task that sees them all.
+
+    Buckets are a function of the row, as spans of the order's first column; each starts at the sum of
+    those before it, which takes one row a bucket.
+    """
+    d = df.withColumn("_bucket", bucket)
+    per = d.groupBy("_bucket").agg(F.sum(value).alias("_sum"))
+    starts = per.select("_bucket", F.coalesce(F.sum("_sum").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    within = F.sum(value).over(Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    return d.withColumn("_run", F.coalesce(within, F.lit(0))).join(starts, "_bucket").withColumn(name, F.col("_start") + F.col("_run")).drop("_bucket", "_run", "_start")

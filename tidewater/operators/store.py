@@ -17,11 +17,18 @@ def manifest_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "idx", "full").select("idx", (~F.coalesce(same, F.lit(False))).alias("changed"))
 
 
-def churn(diff: DataFrame, threshold: float) -> DataFrame:
-    """Changed over the longer manifest's length (its positions); zero if both are empty; alarm above the threshold in percent."""
-    counts = diff.agg(F.count_if("changed").alias("changed"), F.count("*").alias("n"))
+def churn(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """Positions whose hole flag or digest differs, and the difference of the lengths, over the longer manifest's length; zero if both are empty.
+
+    Alarm above the threshold in percent; a threshold of zero is off.
+    """
+    x = a.select("idx", F.col("is_hole").alias("a_hole"), F.col("digest").alias("a_digest"))
+    y = b.select("idx", F.col("is_hole").alias("b_hole"), F.col("digest").alias("b_digest"))
+    differ = (F.col("a_hole") != F.col("b_hole")) | (~F.col("a_hole") & (F.col("a_digest") != F.col("b_digest")))
+    n = x.join(y, "idx", "full").agg(F.count("a_hole").alias("n_a"), F.count("b_hole").alias("n_b"), F.count_if(differ).alias("differ"))
+    n = n.select((F.abs(F.col("n_a") - F.col("n_b")) + F.col("differ")).alias("changed"), F.greatest("n_a", "n_b").alias("n"))
     share = F.when(F.col("n") == 0, 0.0).otherwise(F.col("changed") / F.col("n"))
-    return counts.select("changed", share.alias("fraction"), (share * 100 > threshold).alias("alarm"))
+    return n.select("changed", share.alias("fraction"), (F.lit(threshold > 0) & (share * 100 > threshold)).alias("alarm"))
 
 
 def hole_flips(parent: DataFrame, current: DataFrame) -> DataFrame:
@@ -38,9 +45,11 @@ def resolve(entries: DataFrame, index: DataFrame, landing: DataFrame) -> DataFra
 
 
 def newest_parent(manifests: DataFrame, at: DataFrame) -> DataFrame:
-    """For each (key, generation) asked about, the newest manifest of the key at or below it."""
-    m = manifests.select(F.col("part_key"), F.col("generation").alias("g"))
-    return at.join(m, "part_key", "left").groupBy("part_key", "generation").agg(F.max(F.when(F.col("g") <= F.col("generation"), F.col("g"))).alias("parent"))
+    """For each (key, generation) asked about, the newest manifest of the key at or below it: manifests and questions in one order."""
+    have = manifests.select("part_key", "generation", F.col("generation").alias("have"))
+    asked = at.select("part_key", "generation", F.lit(None).cast("long").alias("have"))
+    w = Window.partitionBy("part_key").orderBy("generation", F.col("have").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    return have.unionByName(asked).withColumn("parent", F.last("have", True).over(w)).where("have IS NULL").select("part_key", "generation", "parent")
 
 
 def delta_bases(entries: DataFrame, index: DataFrame) -> DataFrame:

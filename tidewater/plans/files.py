@@ -333,12 +333,12 @@ def _(t):
     return t.versions.select("id", X.iso_week(s).alias("week"), X.day_key(s).alias("day"), X.month_key(s).alias("month"))
 
 
-@query("parse_duration", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN doc_id % 50 * 3600 + 1800 WHEN doc_id % 4 = 1 THEN doc_id * 86400 END AS seconds FROM documents WHERE doc_id < 3000 AND doc_id % 4 <> 3 OR doc_id % 4 = 3")
+@query("parse_duration", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN doc_id % 50 * 3600 + 1800 WHEN doc_id % 4 = 1 THEN doc_id * 86400 END AS seconds FROM documents")
 def _(t):
     n = F.col("doc_id")
     s = n.cast("string")
     text = F.when(n % 4 == 0, F.concat((n % 50).cast("string"), F.lit("h30m"))).when(n % 4 == 1, F.concat(s, F.lit("d"))).when(n % 4 == 2, s).otherwise(F.concat(F.lit("-"), s, F.lit("h")))
-    return t.documents.where("doc_id < 3000 AND doc_id % 4 <> 3 OR doc_id % 4 = 3").select("doc_id", X.parse_duration(text).alias("seconds"))
+    return t.documents.select("doc_id", X.parse_duration(text).alias("seconds"))
 
 
 @query("parse_file_size_limit", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN doc_id WHEN 2 THEN 0 END AS limit_mb FROM documents")

@@ -116,7 +116,7 @@ def _(t):
 BASELINE = "CASE WHEN CAST(batch AS BIGINT) % 4 <> 0 THEN 5 + CAST(batch AS BIGINT) END"
 
 
-@query("delete_guard", f"""SELECT batch, files, bytes, CASE WHEN files >= 20 THEN 'count' WHEN bytes >= 1073741 THEN 'bytes' WHEN baseline IS NULL THEN 'unknown-baseline' WHEN files > baseline THEN 'dead-rows' WHEN baseline > 50 AND 100.0 * files / baseline >= 12 THEN 'percent' END AS reason
+@query("delete_guard", f"""SELECT batch, files, bytes, CASE WHEN files >= 20 THEN 'count' WHEN bytes >= 1073741 THEN 'bytes' WHEN baseline IS NULL THEN 'unknown-baseline' WHEN baseline > 50 AND 100.0 * files / baseline >= 12 THEN CASE WHEN files > baseline THEN 'percent-dead-rows' ELSE 'percent' END END AS reason
 FROM (SELECT *, {BASELINE} AS baseline FROM ({PROBE}))""")
 def _(t):
     probe = H.batch_probe(_deletes(t)).withColumn("baseline", F.expr(BASELINE))
@@ -146,11 +146,11 @@ def _(t):
 
 # churn
 
-OVER = "(PARTITION BY path ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW)"
+SPIKES = """SELECT e.path, e.event_id, epoch_us(e.ts) AS us, count(*) AS files, CAST(sum(b.bytes) AS BIGINT) AS bytes, count(*) FILTER (b.change_type = 'Renamed') AS renames
+  FROM changes e JOIN changes b ON b.path = e.path AND (b.ts, b.event_id) <= (e.ts, e.event_id) AND b.ts >= e.ts - INTERVAL 3600 SECOND GROUP BY e.path, e.event_id, e.ts"""
 
 
-@query("spike_guard", f"""SELECT *, files >= 3 OR renames >= 2 AS tripped FROM (SELECT path, event_id, count(*) OVER {OVER} AS files, CAST(sum(bytes) OVER {OVER} AS BIGINT) AS bytes,
-  CAST(sum(CASE WHEN change_type = 'Renamed' THEN 1 ELSE 0 END) OVER {OVER} AS BIGINT) AS renames FROM changes)""")
+@query("spike_guard", f"SELECT path, event_id, files, bytes, renames, files >= 3 OR renames >= 2 AS tripped FROM ({SPIKES})")
 def _(t):
     return H.spike_guard(t.changes, "path", 3600, files=3, renames=2)
 
@@ -206,9 +206,10 @@ def _(t):
     return H.hold_summary(t.holds, t.pending)
 
 
-@query("next_due", f"SELECT min(CASE WHEN blocked_at + {30 * DAY_TICKS} <= {MID} THEN blocked_at + {30 * DAY_TICKS} ELSE least(blocked_at + {30 * DAY_TICKS}, last_warning_at + {DAY_TICKS}) END) AS next_due FROM holds")
+@query("next_due", f"""SELECT pipeline, greatest({MID}, min(CASE WHEN expiry <= {MID} THEN expiry ELSE least(expiry, CASE WHEN coalesce(last_warning_at, 0) = 0 THEN {MID} ELSE last_warning_at + {20 * DAY_TICKS} END) END)) AS next_due
+FROM (SELECT *, batch_id % 400 AS pipeline, blocked_at + {30 * DAY_TICKS} AS expiry FROM holds) GROUP BY pipeline""")
 def _(t):
-    return H.next_due(t.holds, 30 * DAY_TICKS, DAY_TICKS, MID)
+    return H.next_due(t.holds.withColumn("pipeline", F.col("batch_id") % 400), 30 * DAY_TICKS, 20 * DAY_TICKS, MID, "pipeline")
 
 
 @query("earliest_expiry", "SELECT batch_id, blocked_at FROM holds ORDER BY blocked_at, batch_id LIMIT 1")
@@ -229,27 +230,37 @@ def _(t):
 # schedules
 
 _SLOT = "date_trunc('day', now) + INTERVAL 9 HOUR"
-_JOBS = "(SELECT o_orderkey AS id, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INT)) AS now, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderdate - to_hours(CAST(o_orderkey % 240 AS INT)) END AS last FROM orders)"
+_JOBS = "(SELECT o_orderkey AS id, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INT)) AS now, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderdate - to_hours(CAST(o_orderkey % 240 AS INT)) END AS last, o_orderdate - to_days(CAST(o_orderkey % 3 AS INT)) AS run_date FROM orders)"
 
 
 def _jobs(t):
     k = F.col("o_orderkey")
-    return t.orders.select(k.alias("id"), (F.col("o_orderdate") + F.make_interval(hours=(k % 24).cast("int"))).alias("now"), F.when(k % 11 != 0, F.col("o_orderdate") - F.make_interval(hours=(k % 240).cast("int"))).alias("last"))
+    now, last = F.col("o_orderdate") + F.make_interval(hours=(k % 24).cast("int")), F.when(k % 11 != 0, F.col("o_orderdate") - F.make_interval(hours=(k % 240).cast("int")))
+    return t.orders.select(k.alias("id"), now.alias("now"), last.alias("last"), (F.col("o_orderdate") - F.make_interval(days=(k % 3).cast("int"))).alias("run_date"))
 
 
-def _due(name: str, slot: str, **how):
-    @query(name, f"SELECT id, last IS NULL OR last < {slot} AS due FROM {_JOBS}")
+def _due(name: str, rule: str, **how):
+    @query(name, f"SELECT id, {rule} AS due FROM {_JOBS}")
     def _(t):
-        return _jobs(t).select("id", H.due(F.col("now"), F.col("last"), **how).alias("due"))
+        return _jobs(t).select("id", H.due(F.col("now"), F.col("last"), run_date=F.col("run_date"), **how).alias("due"))
 
 
-_due("due_daily", f"(CASE WHEN now >= {_SLOT} THEN {_SLOT} ELSE {_SLOT} - INTERVAL 1 DAY END)", kind="daily", hour=9)
+_DAY, _TODAY = "date_trunc('day', {})", "(last IS NULL OR last < date_trunc('day', now))"
+DAILY = f"{_TODAY} AND (now >= {_SLOT} OR coalesce(last < date_trunc('day', now) - INTERVAL 1 DAY, TRUE))"
+_due("due_daily", DAILY, kind="daily", hour=9)
+_due("due_daily_skip", f"{_TODAY} AND now >= {_SLOT}", kind="daily", hour=9, catch_up=False)
+# the day of the last run against the day of the latest moment
 _WEEK = f"({_SLOT} - to_days(CAST((dayofweek(now) + 1) % 7 AS INT)))"
-_due("due_weekly", f"(CASE WHEN now >= {_WEEK} THEN {_WEEK} ELSE {_WEEK} - INTERVAL 7 DAY END)", kind="weekly", hour=9, weekday=6)
-_due("due_weekday_mask", f"(SELECT max(m) FROM (SELECT {_SLOT} - to_days(CAST(n AS INT)) AS m FROM range(8) AS r(n)) WHERE m <= now AND dayofweek(m) BETWEEN 1 AND 5)", kind="weekdays", hour=9, mask=0b0111110)
+_due("due_weekly", f"coalesce({_DAY.format('last')} < {_DAY.format(f'(CASE WHEN now >= {_WEEK} THEN {_WEEK} ELSE {_WEEK} - INTERVAL 7 DAY END)')}, TRUE)", kind="weekly", hour=9, weekday=6)
+_due("due_weekly_skip", f"{_TODAY} AND dayofweek(now) = 6 AND now >= {_SLOT}", kind="weekly", hour=9, weekday=6, catch_up=False)
+_due("due_weekday_mask", f"coalesce({_DAY.format('last')} < {_DAY.format(f'(SELECT max(m) FROM (SELECT {_SLOT} - to_days(CAST(n AS INT)) AS m FROM range(8) AS r(n)) WHERE m <= now AND dayofweek(m) BETWEEN 1 AND 5)')}, TRUE)", kind="weekdays", hour=9, mask=0b0111110)
+_due("due_weekday_mask_skip", f"{_TODAY} AND dayofweek(now) BETWEEN 1 AND 5 AND now >= {_SLOT}", kind="weekdays", hour=9, mask=0b0111110, catch_up=False)
 _MONTH = "least(date_trunc('month', {d}) + INTERVAL 30 DAY, date_trunc('day', last_day({d}))) + INTERVAL 9 HOUR"
 _THIS, _BEFORE = _MONTH.format(d="now"), _MONTH.format(d="(date_trunc('month', now) - INTERVAL 1 DAY)")
-_due("due_monthly", f"(CASE WHEN now >= {_THIS} THEN {_THIS} ELSE {_BEFORE} END)", kind="monthly", hour=9, day=31)
+_due("due_monthly", f"coalesce({_DAY.format('last')} < {_DAY.format(f'(CASE WHEN now >= {_THIS} THEN {_THIS} ELSE {_BEFORE} END)')}, TRUE)", kind="monthly", hour=9, day=31)
+_due("due_monthly_skip", f"{_TODAY} AND {_DAY.format(_THIS)} = {_DAY.format('now')} AND now >= {_SLOT}", kind="monthly", hour=9, day=31, catch_up=False)
+_due("due_once", "last IS NULL AND now >= run_date + INTERVAL 9 HOUR", kind="once", hour=9)
+_due("due_once_skip", "last IS NULL AND now >= run_date + INTERVAL 9 HOUR AND date_trunc('day', now) = run_date", kind="once", hour=9, catch_up=False)
 
 
 @query("due_interval", f"SELECT id, last IS NULL OR epoch(now) - epoch(last) >= 360000 AS due FROM {_JOBS}")
@@ -257,16 +268,6 @@ def _(t):
     return _jobs(t).select("id", H.due(F.col("now"), F.col("last"), "interval", seconds=360_000).alias("due"))
 
 
-@query("due_once", f"SELECT id, last IS NULL AND now >= {_SLOT} AS due FROM {_JOBS}")
-def _(t):
-    return _jobs(t).select("id", H.due(F.col("now"), F.col("last"), "once", hour=9).alias("due"))
-
-
-@query("due_daily_skip", f"SELECT id, (last IS NULL OR last < {_SLOT}) AND now >= {_SLOT} AS due FROM {_JOBS}")
-def _(t):
-    return _jobs(t).select("id", H.due(F.col("now"), F.col("last"), "daily", hour=9, catch_up=False).alias("due"))
-
-
 @query("overlap_decision", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'start' WHEN doc_id % 3 = 0 THEN 'chain' ELSE 'skip' END AS decision FROM documents")
 def _(t):
     n = F.col("doc_id")

@@ -19,7 +19,7 @@ from ..operators import sync
 from ..sources.folders import shared_folder
 from .catalog import query
 from .files import _FNV, _source
-from .history import _JOBS, _SLOT, _jobs
+from .history import _JOBS, DAILY, SPIKES, _jobs
 from .stores import AB, MDIFF, PATHS, _two
 
 SCRUB = """SELECT d.path, CASE WHEN i.path IS NULL THEN 'no-source' WHEN d.size <> i.size THEN 'size-differs' WHEN d.hash <> (CASE WHEN t.ok THEN t.hash ELSE i.hash END) THEN 'corrupt' ELSE 'ok' END AS verdict
@@ -88,7 +88,7 @@ def _(t):
     return t.versions.where(~F.col("pinned") & (F.col("stamp") < F.lit("1997-01-01").cast("timestamp_ntz")) & name_filter(grp, grp, "7")).select("id")
 
 
-@query("scheduler_loop", f"SELECT id, CASE WHEN NOT due THEN 'idle' WHEN id % 5 <> 0 THEN 'start' WHEN id % 2 = 0 THEN 'chain' ELSE 'skip' END AS decision FROM (SELECT id, last IS NULL OR last < (CASE WHEN now >= {_SLOT} THEN {_SLOT} ELSE {_SLOT} - INTERVAL 1 DAY END) AS due FROM {_JOBS})")
+@query("scheduler_loop", f"SELECT id, CASE WHEN NOT due THEN 'idle' WHEN id % 5 <> 0 THEN 'start' WHEN id % 2 = 0 THEN 'chain' ELSE 'skip' END AS decision FROM (SELECT id, {DAILY} AS due FROM {_JOBS})")
 def _(t):
     jobs = _jobs(t).withColumn("due", H.due(F.col("now"), F.col("last"), "daily", hour=9))
     ran = H.overlap(F.col("id") % 5 == 0, F.when(F.col("id") % 2 == 0, "chain").otherwise("skip"))
@@ -101,13 +101,13 @@ def _(t):
     return t.orders.select("o_orderkey", F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.when(rn > 1, F.concat(F.lit("-"), rn.cast("string"))).otherwise("")).alias("batch"))
 
 
-@query("spike_latch", """WITH s AS (SELECT path, event_id, epoch_us(ts) AS us, count(*) OVER (PARTITION BY path ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW) AS files FROM changes)
-SELECT s.path, s.event_id FROM s JOIN (SELECT path, min(us) AS since FROM s WHERE files >= 3 GROUP BY path) h ON h.path = s.path AND s.us >= h.since""")
+@query("spike_latch", f"""WITH s AS ({SPIKES})
+SELECT s.path, s.event_id FROM s JOIN (SELECT path, min((us, event_id)) AS since FROM s WHERE files >= 3 GROUP BY path) h ON h.path = s.path AND (s.us, s.event_id) >= h.since""")
 def _(t):
     """Events that come while their key is held: from its first trip on, until somebody clears it."""
     s = H.spike_guard(t.changes, "path", 3600, files=3)
     first = s.join(t.changes.select("event_id", "ts"), "event_id")
-    held = Window.partitionBy("path").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
+    held = Window.partitionBy("path").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return first.withColumn("held", F.max(F.col("tripped").cast("int")).over(held)).where("held = 1").select("path", "event_id")
 
 
@@ -119,22 +119,22 @@ def _(t):
     schema = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").schema
     raw = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir + "/")
     feed = raw.select(F.col("user_id").cast("string").alias("path"), "event_id", "ts")
-    return E.run_available(E.spike_stream(feed, "path", 3600, 3), "append", shared_folder(t.spark, "latch"), f"latched_{abs(hash(t.sf_dir))}")
+    return E.run_available(E.spike_stream(feed, "path", 3600, 3), shared_folder(t.spark, "latch"))
 
 
 # records
 
 
-@query("mft_enum", "SELECT ref, parent, name, CAST(CASE WHEN is_dir THEN 16 ELSE 32 END AS BIGINT) AS attributes FROM tree WHERE ref < 1200")
+@query("mft_enum", "SELECT ref, parent, name, CAST(CASE WHEN is_dir THEN 16 ELSE 32 END AS BIGINT) AS attributes FROM tree")
 def _(t):
-    rows = t.tree.where("ref < 1200").select("ref", "parent", "name", F.when(F.col("is_dir"), 16).otherwise(32).cast("long").alias("a"))
+    rows = t.tree.select("ref", "parent", "name", F.when(F.col("is_dir"), 16).otherwise(32).cast("long").alias("a"))
     buffers = R.per_batch(rows, ["ref", "parent", "name", "a"], lambda *r: [(R.build_journal([r]),)], ["raw"], [pa.binary()], "raw binary")
     return R.journal_rows(buffers, "raw")
 
 
-@query("data_run_decode", "SELECT id, pos, first, count FROM (SELECT id, 0 AS pos, lo + 1 AS first, cnt AS count FROM extents WHERE vol < 5 AND cnt > 0 UNION ALL SELECT id, 1, -1, lo + 1 FROM extents WHERE vol < 5 AND cnt > 0 UNION ALL SELECT id, 2, lo // 2, 300 FROM extents WHERE vol < 5 AND cnt > 0)")
+@query("data_run_decode", "SELECT id, pos, first, count FROM (SELECT id, 0 AS pos, lo + 1 AS first, cnt AS count FROM extents WHERE cnt > 0 UNION ALL SELECT id, 1, -1, lo + 1 FROM extents WHERE cnt > 0 UNION ALL SELECT id, 2, lo // 2, 300 FROM extents WHERE cnt > 0)")
 def _(t):
-    rows = t.extents.where("vol < 5 AND cnt > 0").select("id", "lo", "cnt")
+    rows = t.extents.where("cnt > 0").select("id", "lo", "cnt")
     lists = R.per_batch(rows, ["id", "lo", "cnt"], lambda i, lo, n: [(i, R.build_runs([(lo + 1, n), (-1, lo + 1), (lo // 2, 300)]))], ["id", "raw"], [pa.int64(), pa.binary()], "id long, raw binary")
     return R.run_rows(lists, "id", "raw")
 
@@ -208,10 +208,10 @@ def _(t):
 # trees
 
 
-@query("path_walk", f"WITH RECURSIVE {PATHS} SELECT ref, upper(path) AS asked FROM p WHERE ref < 1100")
+@query("path_walk", f"WITH RECURSIVE {PATHS} SELECT ref, upper(path) AS asked FROM p")
 def _(t):
     """Paths looked up a segment at a time, ignoring case."""
-    asked = G.full_paths(t.tree).where("ref < 1100").select(F.upper("path").alias("asked"))
+    asked = G.full_paths(t.tree).select(F.upper("path").alias("asked"))
     return G.walk(t.tree, asked).select("ref", "asked")
 
 

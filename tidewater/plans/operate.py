@@ -28,7 +28,7 @@ def _(t):
     raw = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir + "/")
     kind = F.when(F.col("event_type") == "signup", "Created").when(F.col("event_type") == "purchase", "Renamed").when(F.col("event_type") == "error", "Deleted").otherwise("Modified")
     stream = E.debounce_stream(raw.select("event_id", "ts", F.col("user_id").cast("string").alias("path"), kind.alias("change_type")), "path", "1 hour", "1 day")
-    return E.run_available(stream, "append", shared_folder(t.spark, "debounce"), f"debounced_{abs(hash(t.sf_dir))}")
+    return E.run_available(stream, shared_folder(t.spark, "debounce"))
 
 
 @query("last_event_wins", "SELECT path, arg_max(change_type, (ts, event_id)) AS change_type FROM changes GROUP BY path")
@@ -61,9 +61,13 @@ def _(t):
     return _records(t).select("usn", E.reason_type(F.col("reason"), F.col("attributes")).alias("kind"))
 
 
-PAIRS = f"""SELECT file_ref, usn, name, CASE WHEN kind = 'RenameNew' AND before = 'RenameOld' THEN old END AS old_name,
-  CASE kind WHEN 'RenameNew' THEN CASE WHEN before = 'RenameOld' THEN 'Renamed' ELSE 'Created' END WHEN 'RenameOld' THEN 'Deleted' ELSE kind END AS change_type
-FROM (SELECT *, lag(kind) OVER w AS before, lag(name) OVER w AS old, lead(kind) OVER w AS after FROM (SELECT *, {KIND} AS kind FROM ({RECORDS})) WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY file_ref ORDER BY usn)) WHERE NOT (kind = 'RenameOld' AND coalesce(after = 'RenameNew', FALSE))"""
+# the file's state goes from record to record: the stashed old name and whether it was renamed
+PAIRS = f"""WITH RECURSIVE k AS (SELECT *, row_number() OVER (PARTITION BY file_ref ORDER BY usn) AS n FROM (SELECT *, {KIND} AS kind FROM ({RECORDS})) WHERE kind IS NOT NULL),
+s AS (SELECT file_ref, usn, name, kind, n, CASE WHEN kind = 'RenameOld' THEN name END AS stash, FALSE AS renamed, CAST(NULL AS VARCHAR) AS old_name, CASE kind WHEN 'RenameNew' THEN 'Created' WHEN 'RenameOld' THEN NULL ELSE kind END AS change_type FROM k WHERE n = 1
+  UNION ALL SELECT k.file_ref, k.usn, k.name, k.kind, k.n, CASE WHEN k.kind = 'RenameOld' THEN k.name WHEN k.kind NOT IN ('RenameNew', 'Deleted') THEN s.stash END, k.kind <> 'Deleted' AND (s.renamed OR k.kind = 'RenameNew' AND s.stash IS NOT NULL), CASE WHEN k.kind = 'RenameNew' THEN s.stash END,
+    CASE k.kind WHEN 'RenameNew' THEN CASE WHEN s.stash IS NOT NULL THEN 'Renamed' WHEN NOT s.renamed THEN 'Created' END WHEN 'RenameOld' THEN NULL WHEN 'Created' THEN CASE WHEN NOT s.renamed THEN 'Created' END ELSE k.kind END
+  FROM s JOIN k ON k.file_ref = s.file_ref AND k.n = s.n + 1)
+SELECT file_ref, usn, name, old_name, change_type FROM s WHERE change_type IS NOT NULL"""
 
 
 @query("rename_pairing", PAIRS)
@@ -85,9 +89,9 @@ def _(t):
     return E.sweep(t.previous.select("path", parent_dir(F.col("path")).alias("parent")), t.inventory, parents)
 
 
-@query("deletion_batching", """SELECT path, min(event_id) AS first_event, count(*) AS files FROM (SELECT *, sum(CASE WHEN change_type <> 'Deleted' THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM changes) WHERE change_type = 'Deleted' GROUP BY path, run""")
+@query("deletion_batching", """SELECT arg_min(event_id, (ts, event_id)) AS first_event, count(*) AS files, count(DISTINCT path) AS paths FROM (SELECT *, sum(CASE WHEN change_type <> 'Deleted' THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM changes) WHERE change_type = 'Deleted' GROUP BY run""")
 def _(t):
-    return E.delete_batches(t.changes, "path").withColumn("first_event", F.col("first_event"))
+    return E.delete_batches(t.changes)
 
 
 @query("checkpoint_points", "SELECT epoch_us(ts) // 30000000 AS span, max(event_id) AS cursor FROM events GROUP BY 1")
@@ -162,11 +166,17 @@ def _(t):
     return P.select_partitions(known, asked)
 
 
-@query("skip_record_gate", "SELECT doc_id AS no FROM documents WHERE (doc_id % 7 = 0 AND doc_id % 10 <> 4 AND doc_id < 900 OR doc_id >= 900) AND doc_id % 3 <> 0 AND doc_id % 10 <> 4")
+LAST = "(SELECT max(doc_id) // 2 FROM documents)"
+
+
+@query("skip_record_gate", f"SELECT doc_id AS no FROM documents WHERE (doc_id % 7 = 0 AND doc_id <= {LAST} OR doc_id > {LAST}) AND doc_id % 3 <> 0 AND doc_id % 10 <> 4")
 def _(t):
+    """The parent has the first half of the records, a seventh of them with another digest."""
+    last = t.documents.agg(F.floor(F.max("doc_id") / 2).alias("last"))
     digest = F.when(F.col("doc_id") % 10 == 4, F.lit("dead")).otherwise(F.sha2("text", 256))
     now = t.documents.select(F.col("doc_id").alias("no"), digest.alias("digest"))
-    was = t.documents.where("doc_id < 900").select(F.col("doc_id").alias("no"), F.when(F.col("doc_id") % 10 == 4, "dead").when(F.col("doc_id") % 7 == 0, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.sha2("text", 256)).alias("digest"))
+    half = t.documents.join(F.broadcast(last), F.col("doc_id") <= F.col("last"))
+    was = half.select(F.col("doc_id").alias("no"), F.when(F.col("doc_id") % 10 == 4, "dead").when(F.col("doc_id") % 7 == 0, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.sha2("text", 256)).alias("digest"))
     return P.record_gate(was, now, t.documents.where("doc_id % 3 = 0").select(F.col("doc_id").alias("no")))
 
 
@@ -197,20 +207,20 @@ def _(t):
     return t.chunk_index.select("digest", "pack", "pack_offset", F.row_number().over(Window.partitionBy("pack").orderBy("pack_offset")).cast("long").alias("rn"))
 
 
-@query("budget_prune", """WITH g AS (SELECT generation, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(size) // 2 AS BIGINT) AS freed FROM entries WHERE generation < 2000 GROUP BY 1)
-SELECT generation FROM (SELECT generation, (SELECT sum(bytes) FROM g) - coalesce(sum(freed) OVER (ORDER BY generation ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM g) WHERE rest > 150000""")
+@query("budget_prune", """WITH f AS (SELECT generation, CAST(sum(size) AS BIGINT) AS freed FROM (SELECT digest, max(size) AS size, max(generation) AS generation FROM entries WHERE NOT is_hole GROUP BY digest) GROUP BY 1),
+g AS (SELECT generation, coalesce(freed, 0) AS freed FROM (SELECT DISTINCT generation FROM entries) LEFT JOIN f USING (generation))
+SELECT generation FROM (SELECT generation, (SELECT sum(freed) FROM g) - coalesce(sum(freed) OVER (ORDER BY generation ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM g) WHERE rest > 40000 AND generation < (SELECT max(generation) FROM g)""")
 def _(t):
-    g = t.entries.where("generation < 2000").groupBy("generation").agg(F.sum("size").alias("bytes"), F.floor(F.sum("size") / 2).alias("freed"))
-    return P.prune_oldest(g, 150_000)
+    return P.prune_oldest(t.entries, 40_000)
 
 
-RUNS = "(SELECT vol AS file, id AS seq, CASE WHEN id % 4 = 0 THEN -1 ELSE lo END AS lcn, cnt AS count FROM extents WHERE cnt > 0 AND vol < 10 AND id < 30000)"
+RUNS = "(SELECT vol AS file, id AS seq, CASE WHEN id % 4 = 0 THEN -1 ELSE lo END AS lcn, cnt AS count FROM extents WHERE cnt > 0)"
 
 
 @query("vcn_to_lcn", f"""WITH r AS (SELECT *, coalesce(sum(count) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM {RUNS}), w AS (SELECT DISTINCT file, seq % 997 AS vcn FROM {RUNS})
 SELECT w.file, w.vcn, CASE WHEN lcn >= 0 THEN CAST(lcn + vcn - first AS BIGINT) END AS lcn FROM w JOIN r ON w.file = r.file AND vcn >= first AND vcn < first + count""")
 def _(t):
-    r = t.extents.where("cnt > 0 AND vol < 10 AND id < 30000").select(F.col("vol").alias("file"), F.col("id").alias("seq"), F.when(F.col("id") % 4 == 0, -1).otherwise(F.col("lo")).alias("lcn"), F.col("cnt").alias("count"))
+    r = t.extents.where("cnt > 0").select(F.col("vol").alias("file"), F.col("id").alias("seq"), F.when(F.col("id") % 4 == 0, -1).otherwise(F.col("lo")).alias("lcn"), F.col("cnt").alias("count"))
     return P.vcn_to_lcn(r, r.select("file", (F.col("seq") % 997).alias("vcn")).distinct())
 
 
@@ -232,10 +242,13 @@ def _(t):
     return P.adopt_batches(t.changes.select("path", F.col("event_id").alias("clock"), F.concat(F.lpad(F.col("event_id").cast("string"), 8, "0"), F.lit(".json")).alias("file")))
 
 
-@query("rotation_state", "SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value FROM events WHERE props IS NOT NULL AND event_id < 500")
+@query("rotation_state", """SELECT CAST(n_nationkey AS BIGINT) AS store, 'd' || CAST(c_custkey AS VARCHAR) AS id, c_name AS label, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE TIMESTAMP '2026-01-01' + to_days(CAST(c_custkey % 200 AS INT)) END AS last_backup FROM nation JOIN customer ON c_nationkey = n_nationkey""")
 def _(t):
-    m = F.from_json("props", "map<string,string>")
-    return t.events.where("props IS NOT NULL AND event_id < 500").select("event_id", F.element_at(F.map_values(m), 1).alias("first_value"))
+    """A rotation file a store, written and read again."""
+    at = F.when(F.col("c_custkey") % 3 != 0, F.concat(F.date_format(F.lit("2026-01-01").cast("timestamp_ntz") + F.make_interval(days=(F.col("c_custkey") % 200).cast("int")), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).otherwise("")
+    drive = F.struct(F.concat(F.lit("d"), F.col("c_custkey").cast("string")).alias("Id"), F.col("c_name").alias("Label"), F.lit("").alias("LastSeenUtc"), at.alias("LastBackupUtc"))
+    files = t.customer.groupBy(F.col("c_nationkey").cast("long").alias("store")).agg(F.to_json(F.struct(F.lit(1).alias("SchemaVersion"), F.collect_list(drive).alias("Drives"))).alias("json"))
+    return P.rotation_state(files, "store", "json")
 
 
 # content
@@ -277,7 +290,7 @@ def _(t):
     return landing.join(t.chunk_index.select("digest"), "digest", "left_anti")
 
 
-@query("landing_drop", "SELECT p_partkey AS digest FROM part WHERE p_partkey % 46 = 0 AND p_partkey NOT IN (SELECT digest FROM entries WHERE generation < 20000 AND NOT is_hole)")
+@query("landing_drop", "SELECT p_partkey AS digest FROM part WHERE p_partkey % 46 = 0 AND p_partkey NOT IN (SELECT digest FROM entries WHERE generation % 64 = 1 AND NOT is_hole)")
 def _(t):
-    live = S.live_digests(t.entries.where("generation < 20000").withColumn("base", F.lit(None).cast("long")), t.manifests)
+    live = S.live_digests(t.entries.withColumn("base", F.lit(None).cast("long")), t.manifests.where("generation % 64 = 1"))
     return t.part.where("p_partkey % 46 = 0").select(F.col("p_partkey").alias("digest")).join(live, "digest", "left_anti")

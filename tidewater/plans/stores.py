@@ -8,11 +8,11 @@ from ..operators import graph as G
 from ..operators import store as S
 from .catalog import query
 
-ROOTS = "(SELECT generation FROM manifests WHERE generation % 4 = 1)"
+ROOTS = "(SELECT generation FROM manifests WHERE generation % 512 = 1)"
 
 
 def _roots(t):
-    return t.manifests.where("generation % 4 = 1").select("generation")
+    return t.manifests.where("generation % 512 = 1").select("generation")
 
 
 def _two(t):
@@ -37,9 +37,9 @@ def _(t):
     return S.manifest_diff(*_two(t)).where("changed").select("idx")
 
 
-@query("churn_fraction", f"SELECT count(*) FILTER (changed) AS changed, count(*) FILTER (changed) / count(*) AS fraction, 100.0 * count(*) FILTER (changed) / count(*) > 20 AS alarm FROM ({MDIFF})")
+@query("churn_fraction", f"""WITH {AB} SELECT changed, changed / n AS fraction, 100.0 * changed / n > 20 AS alarm FROM (SELECT abs(count(a.idx) - count(b.idx)) + count(*) FILTER (a.is_hole <> b.is_hole OR NOT a.is_hole AND a.digest <> b.digest) AS changed, greatest(count(a.idx), count(b.idx)) AS n FROM a FULL OUTER JOIN b ON a.idx = b.idx)""")
 def _(t):
-    return S.churn(S.manifest_diff(*_two(t)), 20.0)
+    return S.churn(*_two(t), 20.0)
 
 
 @query("hole_flips", f"WITH {AB} SELECT a.idx FROM a JOIN b ON a.idx = b.idx WHERE a.is_hole <> b.is_hole")
@@ -103,34 +103,27 @@ def _(t):
     return S.live_packs(t.chunk_index, _live(t))
 
 
-SMALL = "(SELECT digest FROM entries WHERE NOT is_hole AND generation < 12)"
-
-
-def _small(t):
-    return t.entries.where("NOT is_hole AND generation < 12").select("digest").distinct()
-
-
-@query("mark_sweep", f"SELECT digest, pack FROM chunk_index WHERE digest NOT IN {SMALL}")
+@query("mark_sweep", f"SELECT digest, pack FROM chunk_index WHERE digest NOT IN {LIVE}")
 def _(t):
-    return S.dead_chunks(t.chunk_index, _small(t)).select("digest", "pack")
+    return S.dead_chunks(t.chunk_index, _live(t)).select("digest", "pack")
 
 
-@query("dead_packs", f"SELECT pack, count(*) AS chunks FROM chunk_index GROUP BY pack HAVING count(*) FILTER (digest IN {SMALL}) = 0")
+@query("dead_packs", f"SELECT pack, count(*) AS chunks FROM chunk_index GROUP BY pack HAVING count(*) FILTER (digest IN {LIVE}) = 0")
 def _(t):
-    return S.dead_packs(t.chunk_index, _small(t))
+    return S.dead_packs(t.chunk_index, _live(t))
 
 
 @query("gc_plan", f"""SELECT 'manifest' AS what, CAST(generation AS VARCHAR) AS name FROM manifests WHERE generation NOT IN {ROOTS}
-UNION ALL SELECT 'chunk', CAST(digest AS VARCHAR) FROM chunk_index WHERE digest NOT IN {SMALL} UNION ALL SELECT 'pack', pack FROM chunk_index GROUP BY pack HAVING count(*) FILTER (digest IN {SMALL}) = 0""")
+UNION ALL SELECT 'chunk', CAST(digest AS VARCHAR) FROM chunk_index WHERE digest NOT IN {LIVE} UNION ALL SELECT 'pack', pack FROM chunk_index GROUP BY pack HAVING count(*) FILTER (digest IN {LIVE}) = 0""")
 def _(t):
     row = lambda df, what, c: df.select(F.lit(what).alias("what"), F.col(c).cast("string").alias("name"))
     drop = t.manifests.join(_roots(t), "generation", "left_anti")
-    return row(drop, "manifest", "generation").unionByName(row(S.dead_chunks(t.chunk_index, _small(t)), "chunk", "digest")).unionByName(row(S.dead_packs(t.chunk_index, _small(t)), "pack", "pack"))
+    return row(drop, "manifest", "generation").unionByName(row(S.dead_chunks(t.chunk_index, _live(t)), "chunk", "digest")).unionByName(row(S.dead_packs(t.chunk_index, _live(t)), "pack", "pack"))
 
 
-@query("worm_gate", f"SELECT count(*) > 0 AS refused FROM chunk_index WHERE digest NOT IN {SMALL}")
+@query("worm_gate", f"SELECT count(*) > 0 AS refused FROM chunk_index WHERE digest NOT IN {LIVE}")
 def _(t):
-    return S.dead_chunks(t.chunk_index, _small(t)).agg((F.count("*") > 0).alias("refused"))
+    return S.dead_chunks(t.chunk_index, _live(t)).agg((F.count("*") > 0).alias("refused"))
 
 
 @query("prefilter_semi", "SELECT digest, pack FROM chunk_index WHERE pack IN (SELECT pack FROM chunk_index WHERE stored > 48)")
@@ -183,9 +176,9 @@ def _(t):
     return S.store_size(t.chunk_index, 8000)
 
 
-@query("compact_plan", f"SELECT pack, CAST(dead AS BIGINT) AS dead, CAST(whole AS BIGINT) AS \"all\" FROM (SELECT pack, sum(stored) FILTER (digest NOT IN {SMALL}) AS dead, sum(stored) AS whole, count(*) FILTER (digest IN {SMALL}) AS n FROM chunk_index GROUP BY pack) WHERE n > 0 AND dead / whole > 0.5")
+@query("compact_plan", f"SELECT pack, CAST(dead AS BIGINT) AS dead, CAST(whole AS BIGINT) AS \"all\" FROM (SELECT pack, sum(stored) FILTER (digest NOT IN {LIVE}) AS dead, sum(stored) AS whole, count(*) FILTER (digest IN {LIVE}) AS n FROM chunk_index GROUP BY pack) WHERE n > 0 AND dead / whole > 0.5")
 def _(t):
-    return S.compact_plan(t.chunk_index, _small(t), 0.5)
+    return S.compact_plan(t.chunk_index, _live(t), 0.5)
 
 
 @query("transfer_diff", f"SELECT l.digest, i.pack FROM {LIVE} l LEFT JOIN chunk_index i ON i.digest = l.digest WHERE l.digest NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0)")
@@ -205,10 +198,10 @@ def _(t):
     return S.chain_linkage(t.manifests.select("generation", "parent", hm(F.col("generation")).alias("hmac"), F.when(F.col("generation") % 10 == 3, "bad").otherwise(hm(F.col("generation") - 1)).alias("prev_digest")))
 
 
-@query("layout_survives", "SELECT grid AS id, bool_or(generation % 5 <> 0 AND generation > 0) AS survives FROM manifests WHERE part_key < 40 GROUP BY 1 UNION ALL SELECT 9, FALSE")
+@query("layout_survives", "SELECT part_key AS id, bool_or(generation % 5 <> 0 AND generation > 0) AS survives FROM manifests GROUP BY 1 UNION ALL SELECT -9, FALSE")
 def _(t):
-    lay = t.manifests.where("part_key < 40").groupBy(F.col("grid").alias("id")).agg(F.collect_list("generation").alias("partitions"))
-    lay = lay.unionByName(t.spark.range(1).select(F.lit(9).cast("long").alias("id"), F.array(F.lit(0).cast("long"), F.lit(-5).cast("long")).alias("partitions")))
+    lay = t.manifests.groupBy(F.col("part_key").alias("id")).agg(F.collect_list("generation").alias("partitions"))
+    lay = lay.unionByName(t.spark.range(1).select(F.lit(-9).cast("long").alias("id"), F.array(F.lit(0).cast("long"), F.lit(-5).cast("long")).alias("partitions")))
     return S.layout_survives(lay, t.manifests, t.manifests.where("generation % 5 = 0"))
 
 

@@ -37,7 +37,7 @@ TABLES = {
         UNION ALL SELECT 100 + CAST(n_nationkey AS BIGINT), CAST(n_regionkey AS BIGINT) + 1, n_name, TRUE FROM nation
         UNION ALL SELECT 1000 + c_custkey, 100 + CAST(c_nationkey AS BIGINT), c_name, FALSE FROM customer""",
     "extents": "SELECT l_orderkey % 50 AS vol, l_orderkey * 10 + l_linenumber AS id, min(l_partkey) % 400 AS lo, CAST(min(l_quantity) AS BIGINT) AS cnt FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY l_orderkey, l_linenumber",
-    "holds": f"SELECT c_custkey AS batch_id, {EPOCH_2026} + c_custkey * 36000000000 AS blocked_at, {EPOCH_2026} + c_custkey * 18000000000 AS last_warning_at FROM customer WHERE c_custkey % 3 = 0",
+    "holds": f"SELECT c_custkey AS batch_id, {EPOCH_2026} + c_custkey * 36000000000 AS blocked_at, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE {EPOCH_2026} + c_custkey * 18000000000 END AS last_warning_at FROM customer WHERE c_custkey % 3 = 0",
     "pending": "SELECT DISTINCT o_orderkey AS path_key, o_custkey AS batch_id, o_orderpriority = '1-URGENT' AS claimed FROM orders WHERE o_custkey % 3 = 0",
 }
 

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.present import prefix_sum
+
 # Reason bits of a change journal (fixed values).
 OVERWRITE, EXTEND, CREATE, DELETE, RENAME_OLD, RENAME_NEW, CLOSE = 0x1, 0x2, 0x100, 0x200, 0x1000, 0x2000, 0x80000000
 WATCH_MASK = 0x00FFFF77
@@ -37,16 +39,22 @@ def journal_read(records: DataFrame, cursor: int, mask: int = WATCH_MASK) -> Dat
 
 
 def rename_pairs(records: DataFrame) -> DataFrame:
-    """Old and new names of a file joined to Renamed; a new name without an old one is Created; what else there is stays.
+    """Old and new names of a file joined to Renamed, in journal order.
 
-    Of each file the record before it in journal order is the stash; an old name followed by no new one is Deleted.
+    An old name is kept until the file's next new name, which pairs with the latest one, or until the
+    file is deleted; on its own it gives nothing.  A new name without an old one is Created; after a
+    rename, another new name or a creation repeats it and is silent.  A deletion starts the file afresh.
     """
-    w = Window.partitionBy("file_ref").orderBy("usn")
-    kind = F.col("kind")
+    kind, is_new = F.col("kind"), (F.col("kind") == "RenameNew").cast("int")
+    before = lambda *by: Window.partitionBy("file_ref", *by).orderBy("usn").rowsBetween(Window.unboundedPreceding, -1)
     r = records.select("file_ref", "usn", "name", reason_type(F.col("reason"), F.col("attributes")).alias("kind")).where("kind IS NOT NULL")
-    r = r.withColumn("before", F.lag("kind").over(w)).withColumn("old", F.lag("name").over(w)).withColumn("after", F.lead("kind").over(w))
-    out = F.when(kind == "RenameNew", F.when(F.col("before") == "RenameOld", "Renamed").otherwise("Created")).when(kind == "RenameOld", F.when(F.col("after") == "RenameNew", F.lit(None)).otherwise("Deleted")).otherwise(kind)
-    return r.select("file_ref", "usn", "name", F.when((kind == "RenameNew") & (F.col("before") == "RenameOld"), F.col("old")).alias("old_name"), out.alias("change_type")).where("change_type IS NOT NULL")
+    r = r.withColumn("life", F.coalesce(F.sum((kind == "Deleted").cast("int")).over(before()), F.lit(0)))
+    r = r.withColumn("turn", F.coalesce(F.sum(is_new).over(before("life")), F.lit(0)))
+    r = r.withColumn("old", F.when(kind == "RenameNew", F.last(F.when(kind == "RenameOld", F.col("name")), True).over(before("life", "turn"))))
+    r = r.withColumn("renamed", F.coalesce(F.max(F.col("old").isNotNull()).over(before("life")), F.lit(False)))
+    created = F.when(~F.col("renamed"), "Created")
+    out = F.when(kind == "RenameNew", F.when(F.col("old").isNotNull(), "Renamed").otherwise(created)).when(kind == "Created", created).when(kind != "RenameOld", kind)
+    return r.select("file_ref", "usn", "name", F.col("old").alias("old_name"), out.alias("change_type")).where("change_type IS NOT NULL")
 
 
 def sweep(expired: DataFrame, existing: DataFrame, parents: DataFrame) -> DataFrame:
@@ -57,11 +65,14 @@ def sweep(expired: DataFrame, existing: DataFrame, parents: DataFrame) -> DataFr
     return expired.join(e, "path", "left").join(p, "parent", "left").select("path", kind.alias("change_type")).where("change_type IS NOT NULL")
 
 
-def delete_batches(events: DataFrame, key: str) -> DataFrame:
-    """Runs of consecutive deletes of a feed, in event order: any other event flushes the batch."""
-    w = Window.partitionBy(key).orderBy("ts", "event_id")
-    e = events.withColumn("other", (F.col("change_type") != "Deleted").cast("int")).withColumn("run", F.sum("other").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return e.where("other = 0").groupBy(key, "run").agg(F.count("*").alias("files"), F.min("event_id").alias("first_event")).select(key, "first_event", "files")
+DAY = 86_400_000_000
+
+
+def delete_batches(events: DataFrame) -> DataFrame:
+    """Runs of consecutive deletes of the whole feed, in event order: any other event flushes the batch."""
+    e = events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("other", (F.col("change_type") != "Deleted").cast("int"))
+    e = prefix_sum(e, F.floor(F.col("us") / DAY), ["us", "event_id"], "other", "run")
+    return e.where("other = 0").groupBy("run").agg(F.min(F.struct("us", "event_id")).alias("first"), F.count("*").alias("files"), F.count_distinct("path").alias("paths")).select(F.col("first.event_id").alias("first_event"), "files", "paths")
 
 
 def checkpoint_points(records: DataFrame, seconds: int = 30) -> DataFrame:
@@ -70,9 +81,14 @@ def checkpoint_points(records: DataFrame, seconds: int = 30) -> DataFrame:
 
 
 def gap_scans(requests: DataFrame, seconds: int) -> DataFrame:
-    """Scan requests that lie close together coalesce into one scan."""
-    s = requests.groupBy(F.session_window(F.col("ts").cast("timestamp"), f"{seconds} seconds").alias("w")).agg(F.count("*").alias("requests"))
-    return s.select(F.unix_micros("w.start").alias("start_us"), "requests")
+    """Scan requests that lie close together coalesce into one scan; days are worked on apart and joined at their ends."""
+    r = requests.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id").withColumn("day", F.floor(F.col("us") / DAY))
+    ends = r.groupBy("day").agg(F.max("us").alias("end"))
+    ends = ends.select("day", F.lag("end").over(Window.orderBy("day")).alias("last"))
+    r = r.join(ends, "day").withColumn("before", F.coalesce(F.lag("us").over(Window.partitionBy("day").orderBy("us", "event_id")), "last"))
+    r = r.withColumn("new", F.coalesce((F.col("us") - F.col("before") > seconds * 1_000_000).cast("int"), F.lit(1)))
+    r = prefix_sum(r, F.col("day"), ["us", "event_id"], "new", "scan")
+    return r.groupBy("scan").agg(F.min("us").alias("start_us"), F.count("*").alias("requests")).drop("scan")
 
 
 # streaming forms
@@ -110,8 +126,8 @@ def spike_stream(events: DataFrame, key: str, seconds: int, files: int) -> DataF
     return e.groupBy(key).applyInPandasWithState(step, f"{key} string, event_id long", "recent array<long>, held boolean", "append", "NoTimeout")
 
 
-def run_available(stream: DataFrame, mode: str, checkpoint: str, name: str) -> DataFrame:
-    """A stream run over all that is there, into a table in memory (for checks and small reports)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, folder: str) -> DataFrame:
+    """A stream run over all that is there, appended to Parquet in a shared folder."""
+    q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/log").option("path", f"{folder}/rows").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
