@@ -7,10 +7,12 @@ for by binary search in the shard's array, four words a step, which yields its l
 match, the places of its windows, and so the hit words of each document.  A shard needs nothing
 from other shards, so there is no shuffle.  The benchmark is read in blocks of a bounded size;
 each block is matched against all documents and the blocks' findings are merged by document.
+Items of equal words are searched for once, and occurrences are expanded EXPANDED at a time.
 
 Defined cases: a null or empty text has no words, no hits and is kept; a null item text or item id
-is ignored; items with equal ids count once; repeated document rows are judged each on its own;
-extra columns are never read.
+is ignored; items with equal ids count once; repeated document rows are judged each on its own; a
+text longer than a shard is a shard of its own; of equally long matches the first in the document
+counts; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from . import textbuf as tb
 WINDOW = 13
 SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 16 << 20
+#: Occurrences of windows that are expanded at a time (or those of one item).
+EXPANDED = 1 << 22
 #: Words packed into one 64-bit key (16 bits each; 0 ends a suffix).
 PACK = 4
 
@@ -37,7 +41,7 @@ PACK = 4
 class Items:
     """The windows and suffixes of one block of benchmark items, as ranks in the block's vocabulary."""
 
-    ids: list[str]
+    ids: list[list[str]]  # of each distinct sequence of words, in order
     vocabulary: np.ndarray  # sorted word hashes
     ranks: np.ndarray  # the items' words, 1 up
     item: np.ndarray  # item of each word
@@ -49,10 +53,15 @@ class Items:
         rows = [r for r in rows if r[0] is not None]
         data, off = tb.utf8(pa.array([r[1] for r in rows], pa.large_string()))
         h, first = tb.words(data, off)
+        same: dict[bytes, list[int]] = {}
+        for k, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+            same.setdefault(h[a:b].tobytes(), []).append(k)
+        h = np.concatenate([np.empty(0, tb.U), *(h[first[k[0]] : first[k[0] + 1]] for k in same.values())])
+        n = np.array([first[k[0] + 1] - first[k[0]] for k in same.values()], np.int64)
+        first = np.concatenate([[0], np.cumsum(n)])
         vocabulary = np.unique(h)
-        n = np.diff(first)
         item = np.repeat(np.arange(len(n)), n)
-        return cls([r[0] for r in rows], vocabulary, np.searchsorted(vocabulary, h) + 1, item, first[1:][item] - np.arange(len(h)), window)
+        return cls([sorted({rows[i][0] for i in k}) for k in same.values()], vocabulary, np.searchsorted(vocabulary, h) + 1, item, first[1:][item] - np.arange(len(h)), window)
 
     @property
     def depth(self) -> int:
@@ -166,20 +175,36 @@ def match_shard(data: np.ndarray, offsets: np.ndarray, items: Items) -> dict[str
     found = np.flatnonzero(hi > lo)
     if not len(found):
         return out
-    count = hi[found] - lo[found]
-    suffix = np.repeat(found, count)
-    pos = sa.sa[np.repeat(lo[found], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
     base = first[:-1] + np.arange(docs)  # a document's first place in the spaced text
-    where = np.searchsorted(base, pos, side="right") - 1
     # empty documents share no place with others, as each has its own zero
     cover = np.zeros(len(spaced) + 1, np.int64)
-    np.add.at(cover, pos, 1)
-    np.add.at(cover, pos + size[suffix], -1)
+    parts, counts = [], hi[found] - lo[found]
+    # an item's windows stay in one part
+    of = items.item[found]
+    upto = np.cumsum(counts)
+    part = (upto[np.searchsorted(of, of, side="right") - 1] - 1) // EXPANDED
+    for k in np.unique(part):
+        on, count = found[part == k], counts[part == k]
+        suffix = np.repeat(on, count)
+        pos = sa.sa[np.repeat(lo[on], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+        np.add.at(cover, pos, 1)
+        np.add.at(cover, pos + size[suffix], -1)
+        where = np.searchsorted(base, pos, side="right") - 1
+        parts.append(np.unique(where * len(items.ids) + items.item[suffix]))
+        _longest(out, base, pos, suffix, size, items)
     hit = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
     hit_doc = np.searchsorted(base, hit, side="right") - 1
     cut = np.searchsorted(hit_doc, np.arange(docs + 1))
-    pairs = np.unique(where * len(items.ids) + items.item[suffix])
-    pair_doc = pairs // len(items.ids)
+    pairs = np.unique(np.concatenate(parts))
+    pair_cut = np.searchsorted(pairs, np.arange(docs + 1) * len(items.ids))
+    for d in np.unique(hit_doc):
+        out["hits"][d] = hit[cut[d] : cut[d + 1]] - base[d]
+        out["items"][d] = sorted({i for k in pairs[pair_cut[d] : pair_cut[d + 1]] % len(items.ids) for i in items.ids[k]})
+    return out
+
+
+def _longest(out: dict[str, list], base: np.ndarray, pos: np.ndarray, suffix: np.ndarray, size: np.ndarray, items: Items) -> None:
+    """The longest verbatim matches of documents, from windows (place, item suffix), where they beat those already there."""
     # runs of windows on one diagonal are one verbatim match
     diagonal = np.lexsort((pos, pos - suffix))
     p, s = pos[diagonal], suffix[diagonal]
@@ -192,11 +217,8 @@ def match_shard(data: np.ndarray, offsets: np.ndarray, items: Items) -> dict[str
     lead = best[np.concatenate([[True], run_doc[best][1:] != run_doc[best][:-1]])]
     for r in lead:
         d = run_doc[r]
-        out["longest"][d], out["longest_at"][d], out["longest_item"][d] = run[r], p[head[r]] - base[d], items.ids[items.item[s[head[r]]]]
-    for d in np.unique(hit_doc):
-        out["hits"][d] = hit[cut[d] : cut[d + 1]] - base[d]
-        out["items"][d] = sorted({items.ids[k] for k in pairs[pair_doc == d] % len(items.ids)})
-    return out
+        if run[r] > out["longest"][d]:
+            out["longest"][d], out["longest_at"][d], out["longest_item"][d] = run[r], p[head[r]] - base[d], items.ids[items.item[s[head[r]]]][0]
 
 
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str | None]]]:
@@ -247,10 +269,10 @@ def _matcher(blocks, shard_bytes):
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, min_share: float = 0.05, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, least_part: int = 20, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: its key, n_words, n_hit, n_items, items, contaminated, and the longest verbatim match (words, first word, item).
 
-    A document is contaminated if it has a hit and at least ``min_share`` of its words are hit.
+    A document is contaminated if it has a hit and at least one in ``least_part`` of its words is hit.
     """
     context = docs.sparkSession.sparkContext
     blocks = [context.broadcast(Items.build(rows, window)) for rows in _blocks(benchmark, block_bytes)] or [context.broadcast(Items.build([], window))]
@@ -258,12 +280,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc
     n_hit = F.size("hits").cast("long")
     return found.select(
         F.col("key").alias(key), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items",
-        ((n_hit > 0) & (n_hit >= F.ceil(F.lit(min_share) * F.col("n_words") - F.lit(1e-9)))).alias("contaminated"),
+        ((n_hit > 0) & (least_part * n_hit >= F.col("n_words"))).alias("contaminated"),
         F.col("longest").alias("longest_match"), F.col("longest_at").alias("longest_start"), "longest_item",
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window: int = WINDOW, min_share: float = 0.05, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window: int = WINDOW, least_part: int = 20, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents (all columns) that are not contaminated, in one pass over whole rows."""
     context = docs.sparkSession.sparkContext
     blocks = [context.broadcast(Items.build(rows, window)) for rows in _blocks(benchmark, block_bytes)] or [context.broadcast(Items.build([], window))]
@@ -272,6 +294,6 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "t
         for batch in tb.sharded(batches, text, shard_bytes):
             found = _match(*tb.utf8(batch.column(text)), blocks)
             n_hit = np.array([len(x) for x in found["hits"]])
-            yield batch.filter(pa.array((n_hit == 0) | (n_hit < np.ceil(min_share * np.asarray(found["n_words"]) - 1e-9))))
+            yield batch.filter(pa.array((n_hit == 0) | (least_part * n_hit < np.asarray(found["n_words"]))))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,8 +2,8 @@
 
 Writing (``df.write.format("media_archive")``) takes (key, n_bytes, payload) rows; each task appends
 members to archive files, ends every file with an index of member offsets, and renames it into place;
-the driver's commit lists the files of successful tasks in a manifest, so files of lost tasks are
-never read.  Reading plans one partition per byte range of each listed file: a task reads the file's
+the driver's commit lists the files of successful tasks in a manifest of this write, so files of lost
+tasks are never read, appends add up, and an overwrite replaces what was there.  Reading plans one partition per byte range of each listed file: a task reads the file's
 index and takes the members that start in its range, a batch of a few megabytes at a time through
 Arrow.  A member that cannot be read or fails its checksum is tried again from its own offset,
 without touching the others; one that stays broken stops the read, as results must be whole.
@@ -11,7 +11,7 @@ without touching the others; one that stays broken stops the read, as results mu
 A payload is a positive multiple of 576 bytes and is stored as an 8-bit grey PNG 576 samples wide.
 
 Defined cases: a null text is the empty payload before padding; a null key is kept; repeated rows are
-members of their own; an empty table gives an archive directory without members; extra columns are
+members of their own; a very long text is one member, whole in memory of one task; an empty table gives an archive directory without members; extra columns are
 not stored.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 WIDTH = 576
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
 MAGIC = b"MDA1"
 #: key present, key, unpadded bytes, stored bytes, checksum of the stored bytes
 MEMBER = struct.Struct("<?qqqI")
@@ -99,9 +99,29 @@ class Written(WriterCommitMessage):
     files: list
 
 
+def _manifests(fs, top: str) -> list[str]:
+    """The manifests of all committed writes."""
+    return sorted(i.path for i in fs.get_file_info(pafs.FileSelector(top, allow_not_found=True)) if i.base_name.startswith(f"{MANIFEST}-") and i.base_name.endswith(".json"))
+
+
+def _listed(fs, manifest: str) -> list:
+    with fs.open_input_stream(manifest) as f:
+        return json.loads(f.read())
+
+
+def _index(fs, path: str, size: int) -> np.ndarray:
+    with fs.open_input_file(path) as f:
+        f.seek(size - TRAILER.size)
+        count, magic = TRAILER.unpack(f.read(TRAILER.size))
+        if magic != MAGIC:
+            raise ValueError(f"{path}: no index")
+        f.seek(size - TRAILER.size - 8 * count)
+        return np.frombuffer(f.read(8 * count), "<i8")
+
+
 class Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, level: int):
-        self.path, self.level = path, level
+    def __init__(self, path: str, level: int, overwrite: bool = False):
+        self.path, self.level, self.overwrite, self.job = path, level, overwrite, uuid.uuid4().hex
 
     def write(self, iterator):
         fs, top = _store(self.path)
@@ -113,7 +133,7 @@ class Writer(DataSourceArrowWriter):
                 index = np.array(offsets, "<i8").tobytes()
                 out.write(index + TRAILER.pack(len(offsets), MAGIC))
                 out.close()
-                fs.move(f"{top}/_tmp-{name}", f"{top}/{name}")
+                fs.move(f"{top}/_tmp-{self.job}-{name}", f"{top}/{name}")
                 done.append((name, at + len(index) + TRAILER.size, len(offsets)))
                 out = None
 
@@ -121,7 +141,7 @@ class Writer(DataSourceArrowWriter):
             for key, n_bytes, payload in zip(*(batch.column(c) for c in ("key", "n_bytes", "payload")), strict=True):
                 if out is None:
                     name, offsets, at = f"{uuid.uuid4().hex}.mda", [], 0
-                    out = fs.open_output_stream(f"{top}/_tmp-{name}")
+                    out = fs.open_output_stream(f"{top}/_tmp-{self.job}-{name}")
                 media, k = png_encode(payload.as_py(), self.level), key.as_py()
                 head = MEMBER.pack(k is not None, k or 0, n_bytes.as_py(), len(media), zlib.crc32(media))
                 out.write(head + media)
@@ -133,15 +153,30 @@ class Writer(DataSourceArrowWriter):
         return Written(done)
 
     def commit(self, messages):
+        """One manifest a write, under a name of its own: appends add up, and an overwrite removes the earlier ones last."""
         fs, top = _store(self.path)
-        with fs.open_output_stream(f"{top}/{MANIFEST}") as f:
+        old = _manifests(fs, top) if self.overwrite else []
+        gone = [f"{top}/{name}" for m in old for name, _, _ in _listed(fs, m)]
+        name = f"{top}/{MANIFEST}-{uuid.uuid4().hex}.json"
+        with fs.open_output_stream(f"{name}.tmp") as f:
             f.write(json.dumps([x for m in messages if m for x in m.files]).encode())
+        fs.move(f"{name}.tmp", name)
+        for path in [*old, *gone]:
+            fs.delete_file(path)
+        self._sweep(fs, top)
+
+    def _sweep(self, fs, top):
+        """What failed tasks of this write left unfinished."""
+        for info in fs.get_file_info(pafs.FileSelector(top)):
+            if info.base_name.startswith(f"_tmp-{self.job}-"):
+                fs.delete_file(info.path)
 
     def abort(self, messages):
         fs, top = _store(self.path)
         for m in messages:
             for name, _, _ in m.files if m else ():
                 fs.delete_file(f"{top}/{name}")
+        self._sweep(fs, top)
 
 
 @dataclass
@@ -158,8 +193,9 @@ class Reader(DataSourceReader):
 
     def partitions(self):
         fs, top = _store(self.path)
-        with fs.open_input_stream(f"{top}/{MANIFEST}") as f:
-            files = json.loads(f.read())
+        if not (manifests := _manifests(fs, top)):
+            raise FileNotFoundError(f"{self.path}: no manifest")
+        files = [x for m in manifests for x in _listed(fs, m)]
         return [Range(name, size, a, min(a + self.range_bytes, size)) for name, size, _ in files for a in range(0, size, self.range_bytes)] or [Range("", 0, 0, 0)]
 
     def read(self, partition):
@@ -167,13 +203,7 @@ class Reader(DataSourceReader):
             return
         fs, top = _store(self.path)
         path = f"{top}/{partition.name}"
-        with fs.open_input_file(path) as f:
-            f.seek(partition.size - TRAILER.size)
-            count, magic = TRAILER.unpack(f.read(TRAILER.size))
-            if magic != MAGIC:
-                raise ValueError(f"{path}: no index")
-            f.seek(partition.size - TRAILER.size - 8 * count)
-            index = np.frombuffer(f.read(8 * count), "<i8")
+        index = self._again(lambda: _index(fs, path, partition.size))
         mine = index[(index >= partition.start) & (index < partition.end)]
         rows, size, f = [], 0, None
         for offset in mine.tolist():
@@ -188,6 +218,15 @@ class Reader(DataSourceReader):
         if f is not None:
             f.close()
 
+    def _again(self, read):
+        for attempt in range(self.retries + 1):
+            try:
+                return read()
+            except (OSError, struct.error, ValueError):
+                if attempt == self.retries:
+                    raise
+                time.sleep(0.05 * 2**attempt)
+
     def _member(self, fs, path, f, offset):
         """One member by its own offset; a fresh handle for each try after the first."""
         for attempt in range(self.retries + 1):
@@ -233,7 +272,7 @@ class MediaArchive(DataSource):
     def writer(self, schema, overwrite):
         fs, top = _store(self.options["path"])
         fs.create_dir(top, recursive=True)
-        return Writer(self.options["path"], int(self.options.get("level", 1)))
+        return Writer(self.options["path"], int(self.options.get("level", 1)), overwrite)
 
 
 def payloads(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
