@@ -242,6 +242,10 @@ def test_media(spark, tmp_path):
             full = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
             assert (r.key, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (k, len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
             assert r.media_sha256 == hashlib.sha256(media.png_encode(full)).hexdigest() and media.png_decode(media.png_encode(full)) == full
+    media.write_archive(frame(spark, docs[:4]), path)
+    assert media.read_archive(spark, path).count() == len(docs) + 4
+    media.payloads(frame(spark, docs[:2])).write.format("media_archive").mode("overwrite").save(path)
+    assert media.read_archive(spark, path).count() == 2 and not [p for p in (tmp_path / "m").iterdir() if p.name.startswith("_tmp-")]
     media.write_archive(frame(spark, docs[:0]), f"file://{tmp_path}/none")
     assert media.read_archive(spark, f"file://{tmp_path}/none").count() == 0
 
@@ -280,8 +284,9 @@ def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, digest string, id int")
     for least in (0, 20):
         path = f"file://{tmp_path}/w{least}"
-        warc.write_archives(pages, path, min_bytes=least, records_per_archive=7)
-        got = warc.read_archives(spark, path, with_payload=True).collect()
+        warc.write_archives(pages, path, min_bytes=least, archive_bytes=2000)
+        got = warc.read_archives(spark, path, with_payload=True, range_bytes=700).collect()
+        assert warc.read_archives(spark, path).count() == len(rows)
         assert len(got) == len(rows)
         first = {}
         for k, _, h in rows:
@@ -296,6 +301,23 @@ def test_warc(spark, tmp_path):
             assert (r.record_type, r.refers_to) == (("revisit", first[h]) if again else ("response", None))
             assert r.bytes == len(h.encode()) and r.digest == base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
             assert r.payload == (b"" if again else h.encode())
+        # gzip members one after another, a warcinfo record first, ids that revisits refer to
+        ids, refers = set(), set()
+        for file in (tmp_path / f"w{least}").glob("*.warc.gz"):
+            raw, kinds = file.read_bytes(), []
+            while raw:
+                inflate = zlib.decompressobj(31)
+                size = len(raw) - len((inflate.decompress(raw), inflate.unused_data)[1])
+                h, block = warc.parse(raw[:size])
+                kinds.append(h["WARC-Type"])
+                assert kinds[0] == "warcinfo" and (len(kinds) == 1 or h["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode())
+                ids.add(h["WARC-Record-ID"])
+                refers |= {h["WARC-Refers-To"]} if "WARC-Refers-To" in h else set()
+                raw = raw[size:]
+        assert refers <= ids and (least or refers)
+    again = f"file://{tmp_path}/w0"
+    warc.write_archives(pages.limit(3), again)
+    assert warc.read_archives(spark, again).count() == 3 and len(list((tmp_path / "w0").glob("*.warc.gz"))) <= 3
     warc.write_archives(pages.limit(0), f"file://{tmp_path}/none")
     assert warc.read_archives(spark, f"file://{tmp_path}/none").count() == 0
 

@@ -156,7 +156,7 @@ class Writer(DataSourceArrowWriter):
         """One manifest a write, under a name of its own: appends add up, and an overwrite removes the earlier ones last."""
         fs, top = _store(self.path)
         old = _manifests(fs, top) if self.overwrite else []
-        gone = [f"{top}/{name}" for m in old for name, _, _ in _listed(fs, m)]
+        gone = [f"{top}/{file}" for m in old for name, _, _ in _listed(fs, m) for file in self._files(name)]
         name = f"{top}/{MANIFEST}-{uuid.uuid4().hex}.json"
         with fs.open_output_stream(f"{name}.tmp") as f:
             f.write(json.dumps([x for m in messages if m for x in m.files]).encode())
@@ -175,9 +175,14 @@ class Writer(DataSourceArrowWriter):
         fs, top = _store(self.path)
         for m in messages:
             for name, _, _ in m.files if m else ():
-                fs.delete_file(f"{top}/{name}")
+                for file in self._files(name):
+                    fs.delete_file(f"{top}/{file}")
         self._sweep(fs, top)
 
+    def _files(self, name: str) -> list[str]:
+        """The files of an archive."""
+        return [name]
+
 
 @dataclass
 class Range(InputPartition):
