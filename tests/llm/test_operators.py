@@ -486,13 +486,34 @@ def test_interactions_in_linear_time():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    n = len(quality.STATS) * quality.BINS + quality.BUCKETS
-    m = quality.Machine(np.zeros((len(quality.STATS), quality.BINS - 1)), 0.3, rng.normal(size=n), rng.normal(size=(n, 3)))
-    x = np.zeros((1, n))
-    on = rng.choice(n, 6, replace=False)
-    x[0, on] = rng.normal(size=6)
-    plain = m.bias + x[0] @ m.linear + sum(m.factors[i] @ m.factors[j] * x[0, i] * x[0, j] for a, i in enumerate(on) for j in on[a + 1 :])
-    assert abs(float(m.raw(x)[0]) - plain) < 1e-9
+    kinds = len(quality.STATS) + 2
+    n = kinds * quality.BINS + quality.BUCKETS
+    m = quality.Machine(np.zeros((kinds, quality.BINS - 1)), 0.3, rng.normal(size=n), rng.normal(size=(n, 3)))
+    rows = [sorted(rng.choice(n, k, replace=False)) for k in (6, 1, 40)]
+    values = [rng.normal(size=len(r)) for r in rows]
+    got, _ = m.raw(np.cumsum([0, *map(len, rows)]), np.concatenate(rows), np.concatenate(values))
+    for on, x, z in zip(rows, values, got):
+        plain = m.bias + x @ m.linear[on] + sum(m.factors[i] @ m.factors[j] * x[a] * x[b] for a, i in enumerate(on) for b, j in enumerate(on) if a < b)
+        assert abs(float(z) - plain) < 1e-9
+
+
+def test_quality_features_against_plain_counts():
+    import numpy as np
+
+    texts_ = [t or "" for _, t in texts(4)] + ["A b. c-D 12\n\nx x x É", "", "!!!", "z" * 3000]
+    raw = [t.encode() for t in texts_]
+    off = np.cumsum([0, *map(len, raw)])
+    meta = np.array([[float(len(t)) if i % 3 else -1.0 for i, t in enumerate(texts_)]])
+    d = quality.describe(np.frombuffer(b"".join(raw), np.uint8), off, meta)
+    column = dict(zip([*quality.STATS, "declared", "off"], d.stats.T, strict=True))
+    for i, t in enumerate(texts_):
+        w = brute.words(t)
+        counts = sorted(w.count(x) for x in set(w))
+        v = d.value[d.start[i] : d.start[i + 1]]
+        assert np.allclose(sorted(v), np.log1p(counts) / max(np.sqrt((np.log1p(counts) ** 2).sum()), 1e-6), atol=1e-6)
+        assert np.isclose(column["words"][i], np.log1p(len(w))) and np.isclose(column["bytes"][i], np.log1p(len(raw[i]))) and np.isclose(column["largest"][i], max(counts, default=0) / max(1, len(w)))
+        assert np.isclose(column["capitals"][i], sum("A" <= c <= "Z" for c in t) / max(1, len(raw[i]))) and np.isclose(column["neighbours"][i], sum(a == b for a, b in zip(w, w[1:])) / max(1, len(w)))
+        assert column["off"][i] == (0 if i % 3 else -1)
 
 
 def test_pipeline(spark):

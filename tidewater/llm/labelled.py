@@ -13,8 +13,8 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, *, per_class: dict[int, int], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, label, fold 0-2) of at most so many documents of each label, those of the smallest id hashes.
+def sample(docs: DataFrame, labels: DataFrame, label: str, *, per_class: dict[int, int], key: str = "doc_id", text: str = "text", more: list[Column] = ()) -> DataFrame:
+    """(key, text, more, label, fold 0-2) of at most so many documents of each label, those of the smallest id hashes.
 
     Ids are chosen from the labels alone, so the join that fetches texts has a side of a bounded size.
     A document with several labels takes the largest; null labels and ids don't count.  The sample is
@@ -27,7 +27,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, *, per_class: dict[in
     ids = parts[0]
     for p in parts[1:]:
         ids = ids.unionByName(p)
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "key")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), *more).join(F.broadcast(ids), "key")
     path = shared_dir(spark, f"sample-{label}")
     rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(3)).cast("int")).write.parquet(path)
     return spark.read.parquet(path)
