@@ -30,7 +30,7 @@ BINS = 8
 #: Labelled documents that training reads at most: bad, good.
 PER_CLASS = {0: 2000, 1: 2000}
 SHARD_BYTES = 4 << 20
-EPOCHS, RATE, DECAY = 12, 0.15, 1e-5
+EPOCHS, RATE, DECAY = 12, 0.3, 1e-5
 STATS = ["bytes", "words", "lines", "word_length", "line_length", "capitals", "digits", "symbols", "other_bytes", "distinct", "largest", "neighbours"]
 #: Numeric columns beside the text; labels, languages, sources and ids may not be among them.
 METADATA = ("n_chars",)
@@ -161,6 +161,10 @@ def train(d: Described, y: np.ndarray, seed: int = 11) -> Machine:
             m.bias -= RATE * gb / seen_b**0.5
             m.linear[touched] -= RATE * gw / np.sqrt(seen_w[touched])
             m.factors[touched] -= 0.3 * RATE * gv / np.sqrt(seen_v[touched])
+    # words that training didn't see have no interactions
+    unseen = np.ones(n, bool)
+    unseen[index] = False
+    m.factors[unseen] = 0
     # back from halves to the classes' own shares
     m.bias += float(np.log(y.mean() / (1 - y.mean())))
     return m
