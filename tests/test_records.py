@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater.functions import filerecord as M
 from tidewater.functions import records as R
 from tidewater.sources import config, manifests, polling
 from tidewater.streaming import events as E
@@ -86,3 +87,18 @@ def test_spike_stream_latches(spark, tmp_path):
             want.add((r.path, r.event_id))
         state[r.path] = recent, held
     assert got == want and got
+
+
+def test_file_records():
+    times = (5, 6, 7)
+    raw = M.build(9, 3, [(5, 2, "LONGNA~1", M.ALIAS), (5, 2, "long name é", 1)], times=times, size=70, runs=R.build_runs([(4, 2), (-1, 3), (1, 1)]), log=1, stamp=4)
+    assert M.parse(raw) == [(3, False, 5, 2, "long name é", 5, 6, 7, 70, False, [(0, 4, 2), (2, -1, 3), (5, 1, 1)])]
+    assert M.parse(M.build(9, 3, [(5, 2, "ONLY~1", M.ALIAS)]))[0][4] == "ONLY~1"
+    assert M.parse(M.build(9, 3, [(5, 2, "a", 1), (6, 2, "b", 1)], is_dir=True))[1][1:5] == (True, 6, 2, "b")
+    assert M.parse(M.build(9, 3, [(5, 2, "gone", 1)], in_use=False)) == [] and M.parse(b"BAAD" + raw[4:]) == []
+    for bad in (raw[:510] + b"zz" + raw[512:], raw[:600], b"", raw[:60] + b"\xff\xff\xff\x7f" + raw[64:]):
+        with pytest.raises(ValueError):
+            M.parse(bad)
+    same = lambda **k: M.skip_digest(M.build(9, 3, [(5, 2, "x", 1)], **{"times": times} | k))
+    assert same() == same(log=8, stamp=70) == same(times=(5, 6, 99)) != same(times=(5, 66, 7))
+    assert M.skip_digest(b"short") and M.skip_digest(raw, root=True) != M.skip_digest(raw)

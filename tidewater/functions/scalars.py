@@ -79,6 +79,7 @@ def format_size(n: Column) -> Column:
 
 
 def format_age(seconds: Column) -> Column:
+    seconds = F.greatest(seconds, F.lit(0))
     whole = lambda unit: F.floor(seconds / unit)
     return F.when(seconds >= 86400, F.format_string("%dd", whole(86400))).when(seconds >= 3600, F.format_string("%dh", whole(3600))).otherwise(F.format_string("%dm", whole(60)))
 
@@ -176,3 +177,46 @@ def progress(done: Column, total: Column, seconds: Column) -> tuple[Column, Colu
     """(bytes a second, percent, seconds left); null where nothing can be said."""
     rate = F.when(seconds > 0, done / seconds)
     return rate, F.when(total > 0, F.lit(100.0) * done / total), F.when((rate > 0) & (done <= total), (total - done) / rate)
+
+
+def effective_timeout(job: Column, shared: Column, built_in: int = 10) -> Column:
+    """Minutes: the job's own, else the shared default, else the built-in one; zero and null are unset."""
+    return F.when(job > 0, job).when(shared > 0, shared).otherwise(F.lit(built_in))
+
+
+def boot_file(path: Column) -> Column:
+    """Whether a volume-relative path belongs to the boot loader."""
+    rel = F.lower(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^/+", ""))
+    name = F.substring_index(rel, "/", -1)
+    loader = rel.startswith("windows/system32/") & (name.startswith("winload") | name.startswith("winresume"))
+    return F.coalesce(rel.startswith("efi/") | rel.startswith("boot/") | (rel == "bootmgr") | loader, F.lit(False))
+
+
+def target_token(display: Column, capacity: Column) -> Column:
+    """What a user types to confirm a target: the drive's number and whole GB, or the file's name and bytes."""
+    number = F.regexp_extract(display, r"(?i).*physicaldrive\s*(\d+)\s*$", 1)
+    name = F.nullif(F.regexp_extract(display, r"[^/]*$", 0), F.lit(""))
+    file = F.concat(F.lit("FILE-"), F.regexp_replace(F.coalesce(name, F.lit("target")), "[^A-Za-z0-9._-]", "_"), F.lit("-"), capacity.cast("string"))
+    return F.when(number != "", F.concat(F.lit("DISK"), number.cast("int").cast("string"), F.lit("-"), F.floor(capacity / (1 << 30)).cast("string"), F.lit("GB"))).otherwise(file)
+
+
+def clamp_delay(due: Column, now: Column, least: Column) -> Column:
+    """How long to wait: never less than the floor, never negative."""
+    return F.greatest(due - now, least, F.lit(0))
+
+
+def missed_policy(text: Column) -> Column:
+    t = F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    return F.when(t.isin("catch_up", "catch-up", "catchup"), "catch-up").when(t == "skip", "skip")
+
+
+def overlap_policy(text: Column) -> Column:
+    t = F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    return F.when(t.isin("skip", "queue"), t)
+
+
+def auto_name(volume: Column, extension: str, now: Column) -> Column:
+    """A file name for an image of a volume: its letter or path made flat, and the time."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(volume), r"^\\\\[?.]\\", ""), r"[:\\/]+$", "")
+    flat = F.regexp_replace(bare, r'[:\\/\x00-\x1f"<>|*?]', "-")
+    return F.concat(F.when(flat == "", "vol").otherwise(flat), F.lit("-"), F.date_format(now, "yyyyMMdd-HHmmss"), F.lit("." + extension))

@@ -89,3 +89,9 @@ def walk(nodes: DataFrame, asked: DataFrame) -> DataFrame:
         found = found.where(F.size("parts") > level).withColumn("part", F.get("parts", F.lit(level))).join(below, ["at", "part"]).select("asked", "parts", F.col("ref").alias("at"))
         out = out.unionByName(found.where(F.size("parts") == level + 1))
     return out.select("asked", F.col("at").alias("ref"))
+
+
+def guarded(nodes: DataFrame) -> DataFrame:
+    """Nodes (ref, parent, sequence, parent_sequence) whose parent, where there is one, still has the sequence number that they name: no link to a slot since reused."""
+    have = nodes.groupBy(F.col("ref").alias("parent")).agg(F.first("sequence").alias("now"))
+    return nodes.join(have, "parent", "left").where("now IS NULL OR now = parent_sequence").drop("now")

@@ -237,3 +237,9 @@ def rotation(drives: DataFrame, now: Column, days: int, deep_days: int = 90) ->
     """Drives seen, whether any backup is fresh, whether any has rested deep, and how many are overdue."""
     age = F.datediff(now, F.col("last_backup"))
     return drives.agg(F.count("*").alias("drives"), F.bool_or(age <= days).alias("any_fresh"), F.bool_or(age >= deep_days).alias("any_deep"), F.count_if(F.coalesce(age > days, F.lit(True))).alias("overdue"))
+
+
+def hold_listing(holds: DataFrame, pending: DataFrame, hold_ticks: int) -> DataFrame:
+    """Of each batch: files that still wait, when it was blocked, and when it expires."""
+    b = pending.where("NOT claimed").groupBy("batch_id").agg(F.count("*").alias("files"))
+    return holds.join(b, "batch_id").select("batch_id", "files", F.col("blocked_at").alias("oldest"), (F.col("blocked_at") + hold_ticks).alias("next_due"))

@@ -60,15 +60,24 @@ def record_gate(parent: DataFrame, current: DataFrame, masked: DataFrame) -> Dat
     return both.where(changed).join(masked.select("no"), "no", "left_anti").select("no")
 
 
+def _le(n: Column, size: int) -> Column:
+    """A number's bytes in hex, the smallest first."""
+    big = F.lpad(F.hex(n), 2 * size, "0")
+    return F.concat(*(F.substring(big, 2 * k - 1, 2) for k in range(size, 0, -1)))
+
+
 def band_digests(records: DataFrame, size: int) -> DataFrame:
-    """A digest for each band of ``size`` records, of their digests in order with lengths before them."""
-    b = records.groupBy(F.floor(F.col("no") / size).cast("long").alias("band")).agg(F.array_sort(F.collect_list(F.struct("no", "digest"))).alias("r"))
-    return b.select("band", F.sha2(F.array_join(F.transform("r", lambda x: F.concat(F.length(x["digest"]).cast("string"), F.lit(":"), x["digest"])), ""), 256).alias("digest"))
+    """A digest for each band of ``size`` records (no, raw): of their bytes in order, each with its length in four bytes before it."""
+    part = F.concat(_le(F.octet_length("raw"), 4), F.hex("raw"))
+    b = records.groupBy(F.floor(F.col("no") / size).cast("long").alias("band")).agg(F.array_sort(F.collect_list(F.struct("no", part.alias("part")))).alias("r"))
+    return b.select("band", F.sha2(F.unhex(F.array_join(F.col("r.part"), "")), 256).alias("digest"))
 
 
 def layout_fingerprint(runs: DataFrame) -> DataFrame:
-    g = runs.groupBy("vol").agg(F.array_sort(F.collect_list(F.struct("start", "count"))).alias("r"))
-    return g.select("vol", F.sha2(F.array_join(F.transform("r", lambda x: F.concat(x["start"].cast("string"), F.lit("+"), x["count"].cast("string"))), ";"), 256).alias("fingerprint"))
+    """Of each volume's runs in order, start and count in eight bytes each."""
+    part = F.concat(_le(F.col("start").cast("long"), 8), _le(F.col("count").cast("long"), 8))
+    g = runs.groupBy("vol").agg(F.array_sort(F.collect_list(F.struct("seq", part.alias("part")))).alias("r"))
+    return g.select("vol", F.sha2(F.unhex(F.array_join(F.col("r.part"), "")), 256).alias("fingerprint"))
 
 
 def random_sample(df: DataFrame, n: int, seed: int) -> DataFrame:

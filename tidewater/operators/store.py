@@ -240,3 +240,18 @@ def export_check(entries: DataFrame) -> DataFrame:
     """Each generation's digests in order, hashed: what an export would be compared by."""
     g = entries.groupBy("generation").agg(F.array_sort(F.collect_list(F.struct("idx", "digest", "is_hole"))).alias("e"))
     return g.select("generation", F.sha2(F.array_join(F.transform("e", lambda x: F.when(x["is_hole"], F.lit("hole")).otherwise(x["digest"].cast("string"))), ","), 256).alias("fingerprint"))
+
+
+def delta_pins(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """How many delta entries of root generations pin how many bases."""
+    return entries.where("NOT is_hole AND base IS NOT NULL").join(roots.select("generation"), "generation", "left_semi").agg(F.count("*").alias("pins"), F.count_distinct("base").alias("bases"))
+
+
+def blocking_reasons(manifests: DataFrame, pins: DataFrame, now: Column, keep_days: int) -> DataFrame:
+    """Why each generation stays, reasons joined by '+': the newest, pinned, within the window, or without a date where a window is set."""
+    newest = manifests.agg(F.max("generation").alias("newest"))
+    m = manifests.join(pins.select("generation", F.lit(True).alias("pinned")), "generation", "left").crossJoin(F.broadcast(newest))
+    recent = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.col("created").cast("timestamp")) <= keep_days * 86400
+    window = F.when(F.col("created").isNull(), "unparseable-date").when(recent, "within-window") if keep_days > 0 else F.lit(None).cast("string")
+    text = F.concat_ws("+", F.when(F.col("generation") == F.col("newest"), "newest"), F.when(F.col("pinned"), "pinned"), window)
+    return m.select("generation", F.when(text == "", "not prunable this run").otherwise(text).alias("reasons"))

@@ -136,3 +136,12 @@ def state_lookup(state: DataFrame, keys: DataFrame) -> DataFrame:
     """The state rows of some paths, found or not; ignoring case, as lookups do."""
     s = state.select(F.lower("path").alias("key"), "size", "mtime")
     return keys.select("path", F.lower("path").alias("key")).join(s, "key", "left").select("path", "size", "mtime")
+
+
+def move_replay(moves: DataFrame, dest: DataFrame, skip: int) -> DataFrame:
+    """What becomes of each paired move: copied if the new destination exists, moved if the old one does, else copied and the stale row dropped."""
+    d = dest.select("rel").distinct()
+    rel = lambda c: F.expr(f"substr({c}, {skip})")
+    m = moves.withColumn("new_rel", rel("path")).withColumn("old_rel", rel("old_path"))
+    m = m.join(d.select(F.col("rel").alias("new_rel"), F.lit(True).alias("new_there")), "new_rel", "left").join(d.select(F.col("rel").alias("old_rel"), F.lit(True).alias("old_there")), "old_rel", "left")
+    return m.select("path", "old_path", F.when(F.col("new_there"), "copy").when(F.col("old_there"), "move").otherwise("drop-and-copy").alias("action"))

@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import files, history, jobs, operate, stores  # noqa: F401  each registers its queries
+    from . import files, history, jobs, more, operate, stores  # noqa: F401  each registers its queries
 
 
 load_all()

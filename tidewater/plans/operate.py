@@ -180,16 +180,6 @@ def _(t):
     return P.record_gate(was, now, t.documents.where("doc_id % 3 = 0").select(F.col("doc_id").alias("no")))
 
 
-@query("band_digest", "SELECT doc_id // 64 AS band, sha256(string_agg('64:' || sha256(text), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
-def _(t):
-    return P.band_digests(t.documents.select(F.col("doc_id").alias("no"), F.sha2("text", 256).alias("digest")), 64)
-
-
-@query("layout_fingerprint", "SELECT vol, sha256(string_agg(CAST(lo AS VARCHAR) || '+' || CAST(cnt AS VARCHAR), ';' ORDER BY lo, cnt)) AS fingerprint FROM extents GROUP BY vol")
-def _(t):
-    return P.layout_fingerprint(t.extents.select("vol", F.col("lo").alias("start"), F.col("cnt").alias("count")))
-
-
 @query("random_sample")
 def _(t):
     return P.random_sample(t.state.select("path", "size"), 25, 7)
