@@ -530,3 +530,12 @@ def test_pipeline(spark):
         before = docs.count()
     assert [s[0] for s in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "repeated_passages", "decontaminate", "sentencepiece"]
     assert stages.chain(spark, SF, corpus_pipeline.STAGES).count() == before
+
+
+def test_first_copies_of_a_task():
+    import pyarrow as pa
+
+    rows = [[(5, b"a"), (3, b"a"), (9, b"b")], [(4, b"a"), (2, b"a"), (9, b"b"), (7, b"c")], [(1, b"b")]]
+    batches = [pa.RecordBatch.from_pylist([{"node": k, "same": s, "text": f"{k}{s}"} for k, s in r], schema=pa.schema([("node", pa.int64()), ("same", pa.binary()), ("text", pa.string())])) for r in rows]
+    got = [(r["node"], r["same"]) for b in repeats._first_copies(iter(batches)) for r in b.to_pylist()]
+    assert got == [(3, b"a"), (9, b"b"), (2, b"a"), (7, b"c"), (1, b"b")]

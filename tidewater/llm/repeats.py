@@ -44,6 +44,8 @@ STRIDE = 1 << 19
 SHARD_BYTES = 2 << 20
 #: Text bytes for each bucket, and how many buckets there are at least.
 BUCKET_BYTES, LEAST_BUCKETS = 128 << 20, 64
+#: Digests that a task remembers, so as to send a hot text on once.
+SEEN = 500_000
 NO_ID = -(1 << 63)
 
 
@@ -317,12 +319,20 @@ def _cover(left: pa.Table, right: pa.Table, with_text: bool) -> pa.Table:
 
 
 def _first_copies(batches):
-    """Of the rows of a batch with one digest, the one with the smallest id: hot copies don't reach the shuffle."""
+    """Of the rows of a task with one digest, the one with the smallest id, or few more: hot copies don't reach the shuffle."""
+    least: dict[bytes, int] = {}
     for batch in batches:
-        t = pa.Table.from_batches([batch]).append_column("row", pa.array(range(batch.num_rows)))
-        order = t.select(["same", "node", "row"]).sort_by([("same", "ascending"), ("node", "ascending")])
-        same = order["same"].to_pylist()
-        keep = [r for i, r in enumerate(order["row"].to_pylist()) if not i or same[i] != same[i - 1]]
+        if len(least) > SEEN:
+            least.clear()
+        keep, at = [], {}
+        for row, (same, node) in enumerate(zip(batch.column("same").to_pylist(), batch.column("node").to_pylist(), strict=True)):
+            if same not in least or node < least[same]:
+                least[same] = node
+                if same in at:  # an earlier row of this batch has had its turn
+                    keep[at[same]] = row
+                else:
+                    at[same] = len(keep)
+                    keep.append(row)
         yield batch.take(pa.array(sorted(keep), pa.int64()))
 
 
