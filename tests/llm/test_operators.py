@@ -532,6 +532,78 @@ def test_pipeline(spark):
     assert stages.chain(spark, SF, corpus_pipeline.STAGES).count() == before
 
 
+def _corpus(spark, folder):
+    """A small corpus with planted toxic documents, copies, shared passages, benchmark text, nulls, and columns with clashing names."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(3, 8)))
+    vocabulary = [word() for _ in range(400)]
+    line = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    passage, item = line(60), line(40)
+    docs, labels = [(0, None), (1, ""), (2, None), (3, " \n")], []
+    for i in range(4, 200):
+        t = line(rnd.randrange(100, 200))
+        if i % 4 == 0:
+            w = t.split()
+            for _ in range(14):
+                w.insert(rnd.randrange(len(w)), rnd.choice(["wretchedfool", "stupidoaf", "vilecreature"]))
+            t = " ".join(w)
+        elif i % 10 == 1:
+            t = docs[rnd.randrange(5, len(docs))][1]
+        elif i % 10 == 3:
+            t = t + " " + passage
+        elif i % 10 == 5:
+            t = t[:300] + " " + item
+        elif i % 10 == 7:
+            w = (docs[rnd.randrange(5, len(docs))][1] or "x").split()
+            w[len(w) // 2] = "edited"
+            t = " ".join(w)
+        docs.append((i, t))
+        labels.append((i, 1, int(i % 4 == 0)))
+    docs += [docs[50], docs[50]]
+    frame_ = spark.createDataFrame([(k, t, "en", None, len(t or ""), "x", 7, 0.5) for k, t in docs], "doc_id long, text string, lang string, source string, n_chars long, same string, node long, label double")
+    frame_.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return docs, item
+
+
+def test_pipeline_stages_against_plain_versions(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+    import sentencepiece
+
+    folder = f"file://{tmp_path}"
+    docs, item = _corpus(spark, folder)
+    steps = dict(corpus_pipeline.STAGES)
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    now = steps["toxicity"](spark, table, folder)
+    assert now.columns == table.columns
+    kept = rows(now)
+    scores = {r.doc_id: r.score for r in toxicity.classify(table, spark.read.parquet(f"{folder}/labels.parquet")).collect()}
+    assert kept == sorted(((k, t) for k, t in docs if scores[k] < 0.7), key=repr)
+    planted = {k for k, t in docs if t and "vilecreature" in t}
+    assert len(planted - {k for k, _ in kept}) > 0.9 * len(planted) and len({k for k, _ in kept}) > 0.95 * len({k for k, _ in docs} - planted)
+    now = spark.createDataFrame(now.collect(), now.schema)
+    after = steps["near_duplicates"](spark, now, folder)
+    want = brute.near_classes(kept)
+    assert after.columns == table.columns and rows(after) == sorted({(k, t) for k, t in kept if want[k] == k}, key=repr)
+    now = spark.createDataFrame(after.collect(), after.schema)
+    after = steps["repeated_passages"](spark, now, folder)
+    plain = [(k, raw.decode(errors="ignore")) for k, _, _, _, raw in brute.repeats(rows(now))]
+    assert rows(after) == sorted(plain, key=repr) and all(r.n_chars == len(r.text) for r in after.collect())
+    now = spark.createDataFrame(after.collect(), after.schema)
+    after = steps["decontaminate"](spark, now, folder)
+    bad = {r[0] for r in brute.contamination(rows(now), [(1, item)]) if r[4]}
+    assert bad and rows(after) == sorted(((k, t) for k, t in rows(now) if k not in bad), key=repr)
+    ref = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    ids = {r.doc_id: r.ids for r in steps["sentencepiece"](spark, after, folder).collect()}
+    assert ids == {k: ref.encode(t) for k, t in rows(after)}
+    assert {r.doc_id: r.ids for r in corpus_pipeline.run(spark, folder).collect()} == ids
+    for name, step in corpus_pipeline.STAGES:
+        assert step(spark, table.limit(0), folder).count() == 0, name
+
+
 def test_first_copies_of_a_task():
     import pyarrow as pa
 
