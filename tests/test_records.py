@@ -9,6 +9,7 @@ from tidewater.functions import filerecord as M
 from tidewater.functions import records as R
 from tidewater.sources import config, manifests, polling
 from tidewater.streaming import events as E
+from tidewater.streaming import journal
 
 SF = "/root/testdata/sf0.001"
 
@@ -102,3 +103,28 @@ def test_file_records():
     same = lambda **k: M.skip_digest(M.build(9, 3, [(5, 2, "x", 1)], **{"times": times} | k))
     assert same() == same(log=8, stamp=70) == same(times=(5, 6, 99)) != same(times=(5, 66, 7))
     assert M.skip_digest(b"short") and M.skip_digest(raw, root=True) != M.skip_digest(raw)
+
+
+def _drained(stream, folder):
+    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/log").option("path", f"{folder}/rows").start()
+    q.processAllAvailable()
+    q.stop()
+    return sorted(r.usn for r in stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows").collect()), len(q.recentProgress)
+
+
+def test_journal_stream(spark, tmp_path):
+    path = f"file://{tmp_path}/j"
+    row = lambda n: (n, n % 7, 5, 0x100, 32, f"näme{n}")
+    journal.append(path, "a", [row(n) for n in range(10, 30)])
+    journal.append(path, "a", [row(n) for n in range(30, 45)])
+    assert list(journal.unpack(journal.pack([row(3)]))) == [row(3)]
+    with pytest.raises(ValueError):
+        list(journal.unpack(journal.pack([row(3)])[:-1]))
+    told = journal.describe(path)
+    assert [journal.cursor_problem(c, told) for c in (None, ("b", 12), ("a", -1), ("a", 3), ("a", 99), ("a", 9), ("a", 44))] == ["none", "id-changed", "negative", "before-first", "beyond-head", None, None]
+    got, _ = _drained(journal.read_journal(spark, path, cursor=("a", 12), replay=6), f"file://{tmp_path}/s")
+    assert got == list(range(13, 45))
+    # later records go on from the log, and a cursor that is no good starts at the head
+    journal.append(path, "a", [row(n) for n in range(45, 50)])
+    assert _drained(journal.read_journal(spark, path, cursor=("a", 12)), f"file://{tmp_path}/s")[0] == list(range(13, 50))
+    assert _drained(journal.read_journal(spark, path, cursor=("old", 12)), f"file://{tmp_path}/t")[0] == []

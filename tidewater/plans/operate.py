@@ -51,6 +51,18 @@ def _(t):
     return E.journal_read(_records(t), 400).select("usn", "file_ref", "name")
 
 
+@query("journal_stream", f"SELECT usn, file_ref, name FROM ({RECORDS}) WHERE usn > 400 AND reason & 16777079 <> 0")
+def _(t):
+    """The journal written as segments, and read as a stream from a cursor on."""
+    from ..streaming import journal
+
+    folder = shared_folder(t.spark, "journal")
+    rows = _records(t).select("usn", "file_ref", F.lit(5).cast("long").alias("parent_ref"), "reason", "attributes", "name")
+    journal.write(rows, f"{folder}/log", "j")
+    stream = E.journal_read(journal.read_journal(t.spark, f"{folder}/log", cursor=("j", 400)), 400).select("usn", "file_ref", "name")
+    return E.run_available(stream, f"{folder}/run", drain=True)
+
+
 @query("journal_reason_filter", f"SELECT usn, reason & 4352 <> 0 AS watched FROM ({RECORDS})")
 def _(t):
     return _records(t).select("usn", (F.col("reason").bitwiseAND(F.lit(4352).cast("long")) != 0).alias("watched"))

@@ -126,8 +126,13 @@ def spike_stream(events: DataFrame, key: str, seconds: int, files: int) -> DataF
     return e.groupBy(key).applyInPandasWithState(step, f"{key} string, event_id long", "recent array<long>, held boolean", "append", "NoTimeout")
 
 
-def run_available(stream: DataFrame, folder: str) -> DataFrame:
-    """A stream run over all that is there, appended to Parquet in a shared folder."""
-    q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/log").option("path", f"{folder}/rows").trigger(availableNow=True).start()
-    q.awaitTermination()
+def run_available(stream: DataFrame, folder: str, *, drain: bool = False) -> DataFrame:
+    """A stream run over all that is there, appended to Parquet in a shared folder; sources written in Python are drained, as they have no such trigger."""
+    w = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/log").option("path", f"{folder}/rows")
+    if drain:
+        q = w.start()
+        q.processAllAvailable()
+        q.stop()
+    else:
+        w.trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
