@@ -102,8 +102,11 @@ def _(t):
     return t.orders.select("o_orderkey", F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.when(rn > 1, F.concat(F.lit("-"), rn.cast("string"))).otherwise("")).alias("batch"))
 
 
-@query("spike_latch", f"""WITH s AS ({SPIKES})
-SELECT s.path, s.event_id FROM s JOIN (SELECT path, min((us, event_id)) AS since FROM s WHERE files >= 3 GROUP BY path) h ON h.path = s.path AND (s.us, s.event_id) >= h.since""")
+LATCH = f"""WITH s AS ({SPIKES})
+SELECT s.path, s.event_id FROM s JOIN (SELECT path, min((us, event_id)) AS since FROM s WHERE files >= 3 GROUP BY path) h ON h.path = s.path AND (s.us, s.event_id) >= h.since"""
+
+
+@query("spike_latch", LATCH)
 def _(t):
     """Events that come while their key is held: from its first trip on, until somebody clears it."""
     s = H.spike_guard(t.changes, "path", 3600, files=3)
@@ -112,7 +115,7 @@ def _(t):
     return first.withColumn("held", F.max(F.col("tripped").cast("int")).over(held)).where("held = 1").select("path", "event_id")
 
 
-@query("spike_latch_stream")
+@query("spike_latch_stream", LATCH)
 def _(t):
     """The stateful form over the events' files."""
     from ..streaming import events as E

@@ -21,7 +21,7 @@ def _(t):
     return E.debounce(t.changes, "path", "1 hour")
 
 
-@query("debounce_stream")
+@query("debounce_stream", f"SELECT * FROM ({SESSIONS}) WHERE due_us <= (SELECT max(epoch_us(ts)) FROM events) - 86400000000")
 def _(t):
     """The streaming form over the events' files; sessions that the watermark hasn't closed are left out."""
     schema = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").schema

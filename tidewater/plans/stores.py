@@ -267,12 +267,15 @@ def _(t):
     return S.bitmap_runs(t.lineitem.where("l_quantity < 10").select((F.col("l_suppkey") % 10).alias("grp"), F.col("l_orderkey").alias("pos")))
 
 
-@query("fixed_chunk")
+PIECES = "SELECT doc_id, idx, octet_length(raw) AS length, sha256(raw) AS digest, regexp_full_match(hex(raw), '(00)+') AS is_hole FROM (SELECT doc_id, idx, unhex(substr(h, CAST(idx AS BIGINT) * 1024 + 1, 1024)) AS raw FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE length(text) > 0), unnest(range((length(h) + 1023) // 1024)) AS r(idx))"
+
+
+@query("fixed_chunk", PIECES)
 def _(t):
     return S.fixed_chunks(t.documents, 512)
 
 
-@query("image_dedup")
+@query("image_dedup", f"SELECT digest, count(*) AS uses, min(doc_id) AS first_doc, min(length) AS length FROM ({PIECES}) GROUP BY digest")
 def _(t):
     c = S.fixed_chunks(t.documents, 512)
     return c.groupBy("digest").agg(F.count("*").alias("uses"), F.min("doc_id").alias("first_doc"), F.min("length").alias("length"))
