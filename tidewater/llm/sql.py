@@ -37,4 +37,18 @@ SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
 FROM f
 """
 
-SQL = {"op1_decontaminate": OP1, "op7_warc_revisits": OP7}
+#: Every 100-byte string by its digest; a start that isn't the first of its string removes what it covers.
+OP8 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(h, i * 2 + 1, 200)) AS k FROM d, unnest(range(length(h) // 2 - 99)) AS r(i)),
+m AS (SELECT doc_id, i FROM (SELECT doc_id, i, min((doc_id, i)) OVER (PARTITION BY k) AS first FROM w) WHERE (doc_id, i) > first),
+s AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM m)),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM s GROUP BY doc_id, run),
+pieces AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+kept AS (SELECT p.doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last, string_agg(substr(h, before * 2 + 1, (a - before) * 2), '' ORDER BY a) AS k FROM pieces p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(k, '') || substr(h, coalesce(last, 0) * 2 + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+SQL = {"op1_decontaminate": OP1, "op7_warc_revisits": OP7, "op8_repeats": OP8}
