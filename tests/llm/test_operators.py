@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import sys
 import zlib
 from pathlib import Path
@@ -411,6 +412,84 @@ def test_urls(spark):
     assert all((r.s >= 0.5) == (r.page_id % 2 == 1) for r in scored)
 
 
+def _url_features(url, model):
+    """The features by plain string operations."""
+    rest = url.split("://", 1)[1] if "://" in url else ""
+    host = re.match(r"[^/?#]*", rest).group().translate(brute.LOW)
+    path = re.match(r"[^/?#]*([^?#]*)", rest).group(1)
+    text = (host + path).lower()
+    alone = [text.count(c) for c in "abcdefghijklmnopqrstuvwxyz0123456789./-_=&?:%#"]
+    shares = [c / max(1, len(text)) for c in [*alone, len(text) - sum(alone)] if c > 0]
+    mean, weight = model.suffixes.get(host.rsplit(".", 1)[-1], model.unseen)
+    extension = re.search(r"\.([A-Za-z0-9]{1,5})$", path)
+    return {
+        "url_length": len(url), "host_length": len(host), "path_length": len(path), "depth": path.count("/"), "labels": host.count("."), "hyphens": host.count("-"),
+        "digit_ratio": sum(c in "0123456789" for c in url) / max(1, len(url)), "entropy": -sum(p * math.log2(p) for p in shares), "parameters": ("?" in url) + url.count("&"),
+        "fragment": float("#" in url), "extension": len(extension.group(1)) if extension else 0, "suffix_mean": mean, "suffix_weight": weight,
+    }
+
+
+def _plain_tree(rows, cuts, depth, rate):
+    """The best split of all features and cuts, tried one by one: rows of (features, gradient, curvature)."""
+    g, h = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    best = None
+    for name in cuts if depth else ():
+        for cut in cuts[name]:
+            left = [r for r in rows if r[0][name] <= cut]
+            gl, hl = sum(r[1] for r in left), sum(r[2] for r in left)
+            if hl >= 1 and h - hl >= 1:
+                gain = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
+                if gain > 1e-6 and (best is None or gain > best[0] + 1e-9):
+                    best = gain, name, cut
+    if best is None:
+        return rate * g / (h + 1)
+    _, name, cut = best
+    return name, cut, _plain_tree([r for r in rows if r[0][name] <= cut], cuts, depth - 1, rate), _plain_tree([r for r in rows if r[0][name] > cut], cuts, depth - 1, rate)
+
+
+def _walk(node, x):
+    while isinstance(node, tuple):
+        node = node[2] if x[node[0]] <= node[1] else node[3]
+    return node
+
+
+def test_url_trees_against_every_split(spark):
+    rnd = random.Random(13)
+    queries.ensure_checkpoints(spark)
+
+    def url():
+        bad = rnd.random() < 0.5
+        name = "".join(rnd.choice("abcdefgh0123456789-" if bad else "abcdefgh") for _ in range(rnd.randrange(4, 14)))
+        path = "/".join("".join(rnd.choice("abcXYZ09_é") for _ in range(rnd.randrange(1, 9))) for _ in range(rnd.randrange(1, 6 if bad else 3)))
+        return f"http://www.{name}.{rnd.choice(['biz', 'top', 'com'] if bad else ['com', 'org', 'net'])}/{path}" + ("?a=1&b=2" if bad and rnd.random() < 0.6 else "") + rnd.choice(["", ".html", "#x"]), int(bad != (rnd.random() < 0.05))
+
+    rows = [url() for _ in range(160)]
+    model = urls.train(spark.createDataFrame(rows, "url string, label int"), rounds=3, depth=2)
+    x = [(_url_features(u, model), y) for u, y in rows]
+    mean = sum(y for _, y in x) / len(x)
+    assert math.isclose(model.base, math.log(mean / (1 - mean)))
+    margins, trees = [model.base] * len(x), []
+    for _ in range(3):
+        p = [1 / (1 + math.exp(-m)) for m in margins]
+        trees.append(_plain_tree([(f, y - q, q * (1 - q)) for (f, y), q in zip(x, p)], model.cuts, 2, urls.RATE))
+        margins = [m + _walk(trees[-1], f) for m, (f, _) in zip(margins, x)]
+
+    def same(a, b):
+        return (a[:2] == b[:2] and same(a[2], b[2]) and same(a[3], b[3])) if isinstance(a, tuple) and isinstance(b, tuple) else isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, abs_tol=1e-9)
+
+    assert all(same(a, b) for a, b in zip(model.trees, trees, strict=True))
+    # URLs that weren't learnt from: scores by the plain walk, and what they are worth
+    fresh = [url() for _ in range(200)]
+    labelled_ = spark.createDataFrame(rows, "url string, label int")
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(fresh)], "page_id long, url string")
+    got = urls.judge(pages, rules=[], labelled=labelled_).collect()
+    full = urls.train(labelled_)
+    for r in got:
+        margin = full.base + sum(_walk(t, _url_features(fresh[r.page_id][0], full)) for t in full.trees)
+        assert r.rule is None and math.isclose(r.score, 1 / (1 + math.exp(-margin)), rel_tol=1e-9) and r.verdict == ("block" if r.score >= 0.5 else "allow")
+    assert sum((r.verdict == "block") == bool(fresh[r.page_id][1]) for r in got) > 0.85 * len(got)
+
+
 def _labelled(spark, seed, n=160):
     rnd = random.Random(seed)
     vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 7))) for _ in range(200)]

@@ -8,13 +8,14 @@ statistics of the host's suffix, from labelled URLs: by default those that a rul
 
 Defined cases: a null URL, or one without "://", has an empty host and path and is judged by the
 method on those; repeated rows get equal rows; without labelled URLs of both kinds the method allows
-everything; extra columns are not read.
+everything; of equal gains the first feature and the lowest cut are taken; a suffix that is not among
+the SUFFIXES most frequent of the sample has the sample's mean; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -90,6 +91,7 @@ class Model:
     trees: list
     suffixes: dict[str, tuple[float, float]]
     unseen: tuple[float, float]
+    cuts: dict[str, list[float]] = field(default_factory=dict)
 
     def score(self, columns: dict[str, Column]) -> Column:
         def value(node) -> Column:
@@ -137,6 +139,7 @@ def train(labelled: DataFrame, *, sample: int = SAMPLE, rounds: int = ROUNDS, de
     rows = rows.select("label", *(c.alias(k) for k, c in columns.items())).checkpoint()
     levels = [i / bins for i in range(1, bins)]
     cuts = [sorted(set(q)) for q in rows.agg(*(F.percentile_approx(k, levels, 1000).alias(k) for k in names)).first()]
+    model.cuts = dict(zip(names, cuts, strict=True))
     binned = F.array(*(sum(((F.col(k) > F.lit(c)).cast("int") for c in cut), F.lit(0)) for k, cut in zip(names, cuts, strict=True)))
     rows = rows.select("label", *names, binned.alias("bins"))
     here = {k: F.col(k) for k in names}
