@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -86,3 +87,18 @@ def test_partition_slots():
 
 def test_zero_ranges():
     assert Z.zero_ranges(b"abcdef", [(1, 2), (5, 9)]) == b"a\0\0de\0"
+
+
+def test_rolling_hash_against_each_window():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 31, 32, 33, 200):
+        data = rng.integers(0, 256, n).astype(np.uint8)
+        table = Z.rolling_table()
+        want = []
+        for i in range(n):
+            h = 0
+            for back in range(min(Z.WINDOW, i + 1)):
+                x, r = int(table[data[i - back]]), back % 32
+                h ^= (x << r | x >> (32 - r)) & 0xFFFFFFFF
+            want.append(h)
+        assert Z.cyclic_hashes(data).tolist() == want

@@ -34,13 +34,14 @@ _TABLE = rolling_table()
 
 
 def cyclic_hashes(data: np.ndarray) -> np.ndarray:
-    """The cyclic-polynomial hash after each byte, over the last WINDOW bytes: rotations and xors of whole columns."""
-    t = _TABLE[data]
-    out = np.zeros(len(t), np.uint32)
-    for back in range(min(WINDOW, len(t))):
-        r = back % 32
-        x = t[: len(t) - back]
-        out[back:] ^= (x << np.uint32(r)) | (x >> np.uint32((32 - r) % 32)) if r else x
+    """The cyclic-polynomial hash after each byte, over the last WINDOW bytes: of windows twice as long from those of half the length."""
+    out, size = _TABLE[data], 1
+    while size < min(WINDOW, len(data)):
+        x = out[:-size]
+        turned = (x << np.uint32(size)) | (x >> np.uint32(32 - size))
+        out = out.copy()
+        out[size:] ^= turned
+        size *= 2
     return out
 
 
