@@ -52,12 +52,25 @@ def test_tree_scan_prunes_bytes(spark, tmp_path):
 
 
 def test_manifests_round_trip(spark, tmp_path):
-    e = spark.createDataFrame([(1, 0, 11, 5, False, None), (1, 1, 12, 5, True, 11)], "generation long, idx long, digest long, size long, is_hole boolean, base long")
-    manifests.write(manifests.nest(e), f"file://{tmp_path}/m")
-    assert sorted(map(tuple, manifests.explode_chunks(manifests.read(spark, f"file://{tmp_path}/m")).collect())) == sorted(map(tuple, e.collect()))
+    e = spark.createDataFrame([(1, 0, 11, 5, False, None), (1, 1, 12, 5, True, 11), (2, 0, 1, 1, False, None)], "generation long, idx long, digest long, size long, is_hole boolean, base long")
+    short = "generation BIGINT, " + manifests.MANIFEST[manifests.MANIFEST.index("chunks ") :]
+    path = f"file://{tmp_path}/m"
+    manifests.save(manifests.nest(e), path, "k")
+    assert sorted(map(str, manifests.explode_chunks(manifests.load(spark, path, short, "k")).collect())) == sorted(map(str, e.collect()))
+    with pytest.raises(Exception, match="failed verification"):
+        manifests.load(spark, path, short, "another").collect()
+    for file in (tmp_path / "m").glob("part-*"):
+        file.write_text(file.read_text().replace('"digest":12', '"digest":13'))
+        (tmp_path / "m" / f".{file.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="failed verification"):
+        manifests.load(spark, path, short, "k").collect()
+    newer = spark.createDataFrame([(2, 1, 0, [(1, 2)])], manifests.LAYOUT)
+    manifests.save(newer, f"file://{tmp_path}/l", "k")
+    with pytest.raises(Exception, match="unsupported schema version 2"):
+        manifests.load(spark, f"file://{tmp_path}/l", manifests.LAYOUT, "k", 1).collect()
     (tmp_path / "bad.json").write_text('{"generation": ')
     with pytest.raises(Exception):
-        manifests.read(spark, f"file://{tmp_path}/bad.json").collect()
+        manifests.load(spark, f"file://{tmp_path}/bad.json", short, "k").collect()
 
 
 def _feed(spark):

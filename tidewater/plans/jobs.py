@@ -193,10 +193,16 @@ def _(t):
     return R.per_batch(t.nation, ["n_nationkey", "n_name"], rows, ["number", "first", "last", "name"], [pa.int64()] * 3 + [pa.string()], "number long, first long, last long, name string")
 
 
-@query("layout_scan", "SELECT n_regionkey AS region, n_nationkey AS number, n_nationkey * 10 AS \"offset\" FROM nation")
+@query("layout_scan", "SELECT n_regionkey AS disk, CAST(n_nationkey AS BIGINT) AS number, CAST(n_nationkey * 10 AS BIGINT) AS \"offset\" FROM nation")
 def _(t):
-    lay = t.nation.groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_nationkey").alias("number"), (F.col("n_nationkey") * 10).alias("offset"))).alias("partitions"))
-    return lay.select(F.col("n_regionkey").alias("region"), F.inline("partitions"))
+    """Signed layouts of disks, written and read again."""
+    from ..sources import manifests as M
+
+    parts = F.struct(F.col("n_nationkey").cast("long").alias("number"), (F.col("n_nationkey") * 10).cast("long").alias("offset"))
+    lay = t.nation.groupBy(F.col("n_regionkey").alias("disk")).agg(F.collect_list(parts).alias("partitions"))
+    folder = shared_folder(t.spark, "layouts")
+    M.save(lay.select(F.lit(1).alias("schema_version"), F.lit(7).cast("long").alias("generation"), F.col("disk").cast("long").alias("disk"), "partitions"), folder, "store-key")
+    return M.load(t.spark, folder, M.LAYOUT, "store-key", M.LAYOUT_VERSION).select("disk", F.inline("partitions"))
 
 
 # trees

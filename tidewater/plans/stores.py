@@ -288,9 +288,13 @@ def _(t):
 
 @query("manifest_scan", "SELECT generation, idx, digest, size, is_hole, base FROM entries")
 def _(t):
-    from ..sources.manifests import explode_chunks, nest
+    """Signed manifests, written and read again."""
+    from ..sources import manifests as M
+    from ..sources.folders import shared_folder
 
-    return explode_chunks(nest(t.entries)).select("generation", "idx", "digest", "size", "is_hole", "base")
+    folder = shared_folder(t.spark, "manifests")
+    M.save(M.nest(t.entries), folder, "store-key")
+    return M.explode_chunks(M.load(t.spark, folder, "generation BIGINT, " + M.MANIFEST[M.MANIFEST.index("chunks ") :], "store-key")).select("generation", "idx", "digest", "size", "is_hole", "base")
 
 
 @query("usable_parent", "SELECT c.generation, p.generation AS parent FROM manifests c JOIN manifests p ON p.generation = c.generation - 1 AND p.part_key % 7 = c.part_key % 7 AND p.grid % 2 = c.grid % 2")
