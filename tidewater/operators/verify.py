@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
+import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import codecs as Z
+from ..functions.records import per_batch
+
+#: Parity bytes a stripe of a stored chunk.
+PARITY = 4
+
 
 def sample_compare(source: DataFrame, dest: DataFrame, n: int) -> DataFrame:
     """Problems among the first n source files by path: missing at the destination, or of other content."""
@@ -25,3 +35,36 @@ def resume_ranges(extents: DataFrame, unit: int, verified: int) -> DataFrame:
     """What is left of each extent's bytes beyond those verified."""
     start, end = F.col("lo") * unit, (F.col("lo") + F.col("cnt")) * unit
     return extents.where((F.col("cnt") > 0) & (end > verified)).select("vol", "id", F.greatest(start, F.lit(verified).cast("long")).alias("from"), end.alias("to"))
+
+
+def store_chunks(chunks: DataFrame) -> DataFrame:
+    """(digest, codec, stored, ecc) of each distinct (digest, data): encoded, with parity beside it."""
+
+    def rows(digest, data):
+        codec, stored = Z.encode(data)
+        return [(digest, codec, stored, Z.parity(stored, PARITY))]
+
+    distinct = chunks.dropDuplicates(["digest"])
+    return per_batch(distinct, ["digest", "data"], rows, ["digest", "codec", "stored", "ecc"], [pa.string(), pa.int64(), pa.binary(), pa.binary()], "digest string, codec long, stored binary, ecc binary")
+
+
+def _state(digest, codec, stored, ecc):
+    """What the bytes of a stored chunk are worth: ok, repaired from parity, or damaged; and their plain length."""
+    def whole(raw):
+        try:
+            data = Z.decode(codec, raw)
+        except (zs.ZstdError, ValueError):
+            return None
+        return data if hashlib.sha256(data).hexdigest() == digest else None
+
+    data, state = whole(stored), "ok"
+    if data is None and (fixed := Z.repair(stored, ecc, PARITY)) is not None:
+        data, state = whole(fixed), "repaired"
+    return [(digest, state, len(data))] if data is not None else [(digest, "damaged", None)]
+
+
+def store_problems(entries: DataFrame, store: DataFrame, holes: str = "is_hole") -> DataFrame:
+    """Entries that can't be read as they say: missing, damaged beyond parity, repaired, or of another size.  Each chunk is read once; holes need none."""
+    seen = per_batch(store, ["digest", "codec", "stored", "ecc"], _state, ["digest", "state", "plain"], [pa.string(), pa.string(), pa.int64()], "digest string, state string, plain long")
+    problem = F.when(F.col("state").isNull(), "missing").when(F.col("state") == "damaged", "damaged").when(F.col("plain") != F.col("size"), "size").when(F.col("state") == "repaired", "repaired")
+    return entries.where(~F.col(holes)).join(seen, "digest", "left").withColumn("problem", problem).where("problem IS NOT NULL")

@@ -13,7 +13,7 @@ from ..operators import history as H
 from ..operators import policy as P
 from ..operators import store as S
 from .catalog import query
-from .stores import PATHS, ROOTS, _roots
+from .stores import PATHS, PIECES, ROOTS, _roots
 
 NOW = "1998-07-01 12:00:00"
 
@@ -130,6 +130,22 @@ def _(t):
     return S.blocking_reasons(m, m.where("generation % 1000 = 7").select("generation"), _now(), 30)
 
 
+@query("store_verify_bytes", f"""SELECT doc_id, idx, CASE substr(digest, 1, 1) WHEN '0' THEN 'missing' WHEN '1' THEN 'damaged' WHEN '2' THEN 'size' ELSE 'repaired' END AS problem FROM ({PIECES}) WHERE substr(digest, 1, 1) IN ('0', '1', '2', '3') AND NOT is_hole""")
+def _(t):
+    """Chunks of texts stored and read again, some lost, broken in many bytes, of another size, or broken in one."""
+    from ..operators import verify
+
+    pieces = S.fixed_chunks(t.documents, 512).withColumnRenamed("length", "size")
+    raw = F.col("text").cast("binary")
+    data = t.documents.select("doc_id", raw.alias("raw")).join(pieces.select("doc_id", "idx", "digest"), "doc_id").select("digest", F.substring("raw", (F.col("idx") * 512 + 1).cast("int"), F.lit(512)).alias("data"))
+    store, first = verify.store_chunks(data), F.substring("digest", 1, 1)
+    n = F.octet_length("stored")
+    spoilt = F.when(first == "1", F.unhex(F.repeat(F.lit("5a"), n))).when(first == "3", F.concat(F.substring("stored", 1, F.greatest(n - 1, F.lit(0))), F.unhex(F.when(F.hex(F.substring("stored", n, F.lit(1))) == "5A", "5B").otherwise("5A")))).otherwise(F.col("stored"))
+    store = store.where(first != "0").withColumn("stored", spoilt)
+    entries = pieces.withColumn("size", F.when(first == "2", F.col("size") + 1).otherwise(F.col("size")))
+    return verify.store_problems(entries, store).select("doc_id", "idx", "problem")
+
+
 # holds, moves and feeds
 
 
