@@ -637,7 +637,8 @@ def _corpus(spark, folder):
             w[len(w) // 2] = "edited"
             t = " ".join(w)
         docs.append((i, t))
-        labels.append((i, 1, int(i % 4 == 0)))
+        # copies are as toxic as what they copy
+        labels.append((i, 1, int("vilecreature" in t)))
     docs += [docs[50], docs[50]]
     frame_ = spark.createDataFrame([(k, t, "en", None, len(t or ""), "x", 7, 0.5) for k, t in docs], "doc_id long, text string, lang string, source string, n_chars long, same string, node long, label double")
     frame_.write.parquet(f"{folder}/documents.parquet")

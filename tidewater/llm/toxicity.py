@@ -8,13 +8,13 @@ between the classes.
 A label says that a document is toxic, not where.  The toxic dictionary is therefore trained in
 rounds: first on the windows of toxic documents that the ordinary dictionary compresses worst, then on
 those that the toxic dictionary of the other folds compresses better than nearly all ordinary windows,
-beside the hardest of the rest.  Strings that several documents of the sample
-share take no part, since a copied passage says nothing about a class.  The round that separates the
-documents best, out of fold, is kept.
+beside the hardest of the rest.  Strings that several documents share take no part, since a copied
+passage says nothing about a class.
 
-Out-of-fold savings give each saving a log-likelihood ratio; a document's statistic is the sum over
-its windows, turned to a probability by isotonic regression under the labels' own shares, which
-calibrates the threshold.  Whole texts are scored, in overlapping windows; no shuffle.
+A third of the sample takes no part in the dictionaries.  On it each saving gets a log-likelihood
+ratio; a document's statistic is the sum over its windows, turned to a probability by isotonic
+regression under the labels' own shares, which calibrates the threshold.  The round that finds most
+toxic documents there is kept.  Whole texts are scored, in overlapping windows; no shuffle.
 
 Defined cases: null and empty texts have no windows and so the statistic 0; without toxic or ordinary
 labelled rows every document gets the share of toxic ones in the sample; repeated rows get equal
@@ -37,7 +37,9 @@ from .labelled import held_out, sample
 
 WINDOW, STEP = 128, 64
 ORDINARY_BYTES, TOXIC_BYTES = 65536, 4096
-ROUNDS, FOLDS = 5, 3
+ROUNDS = 8
+#: Score from which a document counts as toxic.
+THRESHOLD = 0.7
 #: Strings of so many bytes that two documents of the sample share aren't trained on; shorter pieces between them neither.
 SHARED, PIECE = 32, 16
 #: Share of the ordinary windows that a window must exceed to be hard, or toxic; others of a document that are taken all the same.
@@ -45,7 +47,7 @@ HARD, SURE, FORCED = 0.95, 0.999, 2
 #: Savings are counted from -LEAST to MOST bytes a window; evidence of one window lies in [-1, CLIP].
 LEAST, MOST, CLIP = 6, 14, 5.0
 #: Labelled documents that training reads at most: ordinary, toxic; longer ones (in bytes) aren't learnt from.
-PER_CLASS = {0: 2400, 1: 1200}
+PER_CLASS = {0: 4500, 1: 1500}
 LONGEST = 1 << 16
 #: Windows compressed in one call; parts in which strings are compared, to bound memory.
 CHUNK, SLICES = 1 << 16, 16
@@ -94,7 +96,7 @@ def _trained(size: int, samples: list[bytes]) -> bytes:
 def own_pieces(texts: list[bytes]) -> list[list[bytes]]:
     """Each text without the strings of SHARED bytes that another of them holds too."""
     count = np.array([max(0, len(x) - SHARED + 1) for x in texts], np.int64)
-    h, by, done = np.zeros(count.sum(), tb.U), np.repeat(np.arange(len(texts), dtype=np.int32), count), 0
+    h, ends, done = np.zeros(count.sum(), tb.U), np.cumsum(count), 0
     for x, n in zip(texts, count.tolist(), strict=True):
         if n:
             at8, mine = np.ndarray((len(x) - 7,), "<u8", buffer=np.frombuffer(x, np.uint8), strides=(1,)), h[done : done + n]
@@ -108,7 +110,8 @@ def own_pieces(texts: list[bytes]) -> list[list[bytes]]:
             on = on[np.argsort(h[on], kind="stable")]
             first = np.concatenate([[True], h[on][1:] != h[on][:-1]])
             at = np.flatnonzero(first)
-            several = np.maximum.reduceat(by[on], at) != np.minimum.reduceat(by[on], at)
+            by = np.searchsorted(ends, on, side="right")
+            several = np.maximum.reduceat(by, at) != np.minimum.reduceat(by, at)
             shared[on] = several[np.cumsum(first) - 1]
     out, done = [], 0
     for x, n in zip(texts, count.tolist(), strict=True):
@@ -123,16 +126,18 @@ def own_pieces(texts: list[bytes]) -> list[list[bytes]]:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[list[int], list[float]]:
-    """Pool adjacent violators on integer x, rows weighted: from each level on, a probability."""
-    blocks: list[list[float]] = []  # level, weight of the ones, weight
+    """Pool adjacent violators on integer x, rows weighted: from each level on, a probability; a level lies midway between the values it parts."""
+    blocks: list[list[float]] = []  # first value, weight of the ones, weight, last value
     for v in np.unique(x):
         on = x == v
-        blocks.append([int(v), float((weight * y)[on].sum()), float(weight[on].sum())])
+        blocks.append([int(v), float((weight * y)[on].sum()), float(weight[on].sum()), int(v)])
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
-            _, s, w = blocks.pop()
+            _, s, w, last = blocks.pop()
             blocks[-1][1] += s
             blocks[-1][2] += w
-    return [b[0] for b in blocks], [b[1] / b[2] for b in blocks]
+            blocks[-1][3] = last
+    levels = [b[0] if not k else -((-blocks[k - 1][3] - b[0]) // 2) for k, b in enumerate(blocks)]
+    return levels, [b[1] / b[2] for b in blocks]
 
 
 def evidence_of(saved: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -161,13 +166,16 @@ class Model:
         np.add.at(total, doc, per)
         return np.rint(total / 256).astype(np.int64)
 
+    def chance(self, statistic: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.levels, statistic, side="right") - 1
+        return np.array(self.chances)[np.maximum(at, 0)]
+
     def scores(self, data: np.ndarray, offsets: np.ndarray, coders: tuple[Coder, Coder]) -> np.ndarray:
         """The probability of each text of a flat buffer."""
         doc, start, length = windows(np.diff(offsets))
         flat, start = tb.LOWER[data].tobytes(), start + offsets[:-1][doc]
         saved = coders[0].sizes(flat, start, length) - coders[1].sizes(flat, start, length)
-        at = np.searchsorted(self.levels, self.statistics(saved, doc, len(offsets) - 1), side="right") - 1
-        return np.array(self.chances)[np.maximum(at, 0)]
+        return self.chance(self.statistics(saved, doc, len(offsets) - 1))
 
 
 class _Windows:
@@ -195,44 +203,45 @@ def _hardest(cost: np.ndarray, doc: np.ndarray, on: np.ndarray) -> np.ndarray:
     return at[rank < FORCED]
 
 
-def train(texts: list[bytes], label: np.ndarray, fold: np.ndarray) -> tuple[Model, np.ndarray]:
-    """Dictionaries and evidence, and the out-of-fold statistic of every text."""
-    w, whole = _Windows(own_pieces(texts)), _Windows([[t] if t else [] for t in texts])
-    toxic, of = label[w.doc] == 1, fold[w.doc]
-    every = np.arange(len(w.doc))
-    apart = [k for k in range(FOLDS) if (fold != k).any() and (fold == k).any()] or [-1]
+def train(texts: list[bytes], label: np.ndarray, fold: np.ndarray, ordinary_weight: float = 1.0, threshold: float = THRESHOLD) -> Model:
+    """A model: dictionaries from the texts of folds 0 and 1, evidence and probabilities from those of fold 2, which training never sees."""
+    held = fold == 2
+    if not all((label[held] == k).any() and (label[~held] == k).any() for k in (0, 1)):
+        held = np.zeros(len(texts), bool)  # too few to keep some apart
+    learnt = np.flatnonzero(~held)
+    w = _Windows(own_pieces([texts[i] for i in learnt]))
+    test = np.flatnonzero(held) if held.any() else learnt
+    whole, y = _Windows([[texts[i]] if texts[i] else [] for i in test]), label[test]
+    toxic, of, every = label[learnt][w.doc] == 1, fold[learnt][w.doc], np.arange(len(w.doc))
     # windows that don't overlap hold all of the text
-    once = ~toxic & (w.at % WINDOW == 0)
-    ordinary = {k: _trained(ORDINARY_BYTES, w.bytes_at(every[once & (of != k)])) for k in [*apart, -1]}
-    plain, plain_whole = np.zeros(len(every), np.int64), np.zeros(len(whole.doc), np.int64)
-    # a fold's windows are measured under dictionaries that never saw it
-    parts = [(k, np.flatnonzero((of == k) | (k < 0)), np.flatnonzero((fold[whole.doc] == k) | (k < 0))) for k in apart]
-    for k, on, on_whole in parts:
-        plain[on], plain_whole[on_whole] = w.sizes(ordinary[k], on), whole.sizes(ordinary[k], on_whole)
+    ordinary = _trained(ORDINARY_BYTES, w.bytes_at(every[~toxic & (w.at % WINDOW == 0)]))
+    plain, plain_whole = w.sizes(ordinary, every), whole.sizes(ordinary, np.arange(len(whole.doc)))
     full = w.length == WINDOW
     limit = np.quantile(plain[~toxic & full], HARD) if (~toxic & full).any() else 0
     chosen = np.flatnonzero(toxic & full & (plain > limit))
     if not len(chosen):
         chosen = every[toxic]
-    best: tuple[float, Model, np.ndarray] | None = None
+    best: tuple[tuple[float, float], Model] | None = None
     for _ in range(ROUNDS):
-        model = Model(ordinary[-1], _trained(TOXIC_BYTES, w.bytes_at(chosen)))
-        saved, saved_whole = plain.copy(), plain_whole.copy()
-        for k, on, on_whole in parts:
-            content = _trained(TOXIC_BYTES, w.bytes_at(chosen[of[chosen] != k])) + ordinary[k]
-            saved[on] -= w.sizes(content, on)
-            saved_whole[on_whole] -= whole.sizes(content, on_whole)
-        model.evidence = evidence_of(saved_whole, label[whole.doc])
-        statistic = model.statistics(saved_whole, whole.doc, len(texts))
-        # recall where one ordinary text in a hundred is lost
-        recall = float((statistic[label == 1] > np.quantile(statistic[label == 0], 0.99)).mean())
-        if best is None or recall > best[0]:
-            best = recall, model, statistic
+        model = Model(ordinary, _trained(TOXIC_BYTES, w.bytes_at(chosen)))
+        saved_whole = plain_whole - whole.sizes(model.toxic + ordinary, np.arange(len(whole.doc)))
+        model.evidence = evidence_of(saved_whole, y[whole.doc])
+        statistic = model.statistics(saved_whole, whole.doc, len(test))
+        model.levels, model.chances = isotonic(statistic, y, np.where(y == 1, 1.0, ordinary_weight))
+        # recall at the threshold, and where one ordinary text in a hundred is lost
+        merit = float((model.chance(statistic)[y == 1] >= threshold).mean()), float((statistic[y == 1] > np.quantile(statistic[y == 0], 0.99)).mean())
+        if best is None or merit > best[0]:
+            best = merit, model
+        # the next round's windows, by dictionaries of the other fold
+        saved = plain.copy()
+        for k in (0, 1):
+            on = np.flatnonzero(of == k)
+            saved[on] -= w.sizes(_trained(TOXIC_BYTES, w.bytes_at(chosen[of[chosen] != k])) + ordinary, on)
         sure = toxic & (saved > (np.quantile(saved[~toxic], SURE) if (~toxic).any() else 0))
         chosen = np.concatenate([np.flatnonzero(sure), _hardest(plain / np.maximum(w.length, 1), w.doc, toxic & full & ~sure)])
         if not len(chosen):
             break
-    return best[1], best[2]
+    return best[1]
 
 
 def _lower(text: str | None) -> bytes:
@@ -247,12 +256,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", key: str =
     y, fold = np.array([v[0] for _, v in distinct], np.int64), np.array([v[1] for _, v in distinct], np.int64)
     if not len(y) or y.min() == y.max():
         return Model(chances=[float(y.mean()) if len(y) else 0.0])
-    model, statistic = train([_lower(k[0]) for k, _ in distinct], y, fold)
     # the sample holds more toxic rows than the labels do
     have = {r["label"]: r["n"] for r in labels.where(F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(label).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
     ordinary = max(1.0, have.get(0, 1) / have.get(1, 1) * y.sum() / (y == 0).sum())
-    model.levels, model.chances = isotonic(statistic, y, np.where(y == 1, 1.0, ordinary))
-    return model
+    return train([_lower(k[0]) for k, _ in distinct], y, fold, ordinary)
 
 
 def _scored(held, column: str):
@@ -277,7 +284,7 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, "key long, score double").withColumnRenamed("key", key)
 
 
-def keep_clean(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.7) -> DataFrame:
+def keep_clean(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents (all columns) that score below the threshold."""
     scored = _scored(docs.sparkSession.sparkContext.broadcast(model), text)
 
@@ -288,6 +295,6 @@ def keep_clean(docs: DataFrame, model: Model, *, text: str = "text", threshold:
     return docs.mapInArrow(run, docs.schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     scored = score(docs, fit(docs, labels, key=key, text=text), key=key, text=text)
     return scored.select(key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
