@@ -179,10 +179,22 @@ def next_due(holds: DataFrame, hold_ticks: int, warn_ticks: int, now: int, by: s
 
 
 def hold_clock(holds: DataFrame, pending: DataFrame, existing: DataFrame, now: int, hold_ticks: int) -> DataFrame:
-    """delete, cancel or wait for each held path, at a time."""
+    """delete, cancel or wait for each held path, at a time.  Holds (batch_id, blocked_at, source_there) whose source root is missing keep waiting."""
     e = existing.select("path_key", F.lit(True).alias("back"))
-    action = F.when(F.col("back"), "cancel").when(F.col("blocked_at") + hold_ticks <= now, "delete").otherwise("wait")
-    return pending.join(holds.select("batch_id", "blocked_at"), "batch_id").join(e, "path_key", "left").select("path_key", action.alias("action"))
+    action = F.when(~F.col("source_there"), "wait").when(F.col("back"), "cancel").when(F.col("blocked_at") + hold_ticks <= now, "delete").otherwise("wait")
+    return pending.join(holds.select("batch_id", "blocked_at", "source_there"), "batch_id").join(e, "path_key", "left").select("path_key", action.alias("action"))
+
+
+def hold_warnings(holds: DataFrame, now: int, hold_ticks: int, every_ticks: int) -> DataFrame:
+    """Batches that still wait and are due their next warning, with the time that is left."""
+    expiry, last = F.col("blocked_at") + hold_ticks, F.coalesce(F.col("last_warning_at"), F.lit(0))
+    return holds.where((expiry > now) & (last + every_ticks <= now)).select("batch_id", (expiry - now).alias("left"))
+
+
+def forget(versions: DataFrame, now: Column, wanted: Column, **policies) -> DataFrame:
+    """Versions among the wanted ones that no policy keeps, and that are neither pinned nor without a stamp."""
+    beyond = retention(versions, now, **policies).where("NOT keep").select("grp", "id")
+    return versions.where(wanted).join(beyond, ["grp", "id"], "left_semi").select("id")
 
 
 # schedules

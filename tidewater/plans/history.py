@@ -217,9 +217,14 @@ def _(t):
     return t.holds.orderBy("blocked_at", "batch_id").limit(1).select("batch_id", "blocked_at")
 
 
-@query("hold_clock", f"""SELECT p.path_key, CASE WHEN e.path_key IS NOT NULL THEN 'cancel' WHEN h.blocked_at + {DAY_TICKS} <= {MID} THEN 'delete' ELSE 'wait' END AS action FROM pending p JOIN holds h ON p.batch_id = h.batch_id LEFT JOIN {INC} e ON e.path_key = p.path_key""")
+@query("hold_clock", f"""SELECT p.path_key, CASE WHEN h.batch_id % 11 = 0 THEN 'wait' WHEN e.path_key IS NOT NULL THEN 'cancel' WHEN h.blocked_at + {DAY_TICKS} <= {MID} THEN 'delete' ELSE 'wait' END AS action FROM pending p JOIN holds h ON p.batch_id = h.batch_id LEFT JOIN {INC} e ON e.path_key = p.path_key""")
 def _(t):
-    return H.hold_clock(t.holds, t.pending, _incoming(t), MID, DAY_TICKS)
+    return H.hold_clock(t.holds.withColumn("source_there", F.col("batch_id") % 11 != 0), t.pending, _incoming(t), MID, DAY_TICKS)
+
+
+@query("hold_warnings", f"SELECT batch_id, blocked_at + {30 * DAY_TICKS} - {MID} AS \"left\" FROM holds WHERE blocked_at + {30 * DAY_TICKS} > {MID} AND last_warning_at + {DAY_TICKS} <= {MID}")
+def _(t):
+    return H.hold_warnings(t.holds, MID, 30 * DAY_TICKS, DAY_TICKS)
 
 
 @query("cancel_on_restore", f"SELECT path_key, batch_id FROM pending WHERE path_key NOT IN (SELECT path_key FROM {INC})")

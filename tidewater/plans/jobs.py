@@ -79,12 +79,13 @@ def _(t):
     return resume_ranges(t.extents, 4, 800)
 
 
-@query("forget_plan", "SELECT id FROM versions WHERE NOT pinned AND stamp IS NOT NULL AND stamp < TIMESTAMP '1997-01-01' AND contains(CAST(grp AS VARCHAR), '7')")
+@query("forget_plan", "SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY stamp DESC NULLS FIRST, id DESC) AS rn FROM versions) WHERE rn > 3 AND NOT pinned AND stamp IS NOT NULL AND stamp < TIMESTAMP '1998-07-01' - INTERVAL 90 DAY AND contains(CAST(grp AS VARCHAR), '7')")
 def _(t):
+    """Of files whose name has a 7, the versions beyond the last three and the last 90 days."""
     from ..functions.paths import name_filter
 
     grp = F.col("grp").cast("string")
-    return t.versions.where(~F.col("pinned") & (F.col("stamp") < F.lit("1997-01-01").cast("timestamp_ntz")) & name_filter(grp, grp, "7")).select("id")
+    return H.forget(t.versions, F.lit("1998-07-01").cast("timestamp_ntz"), name_filter(grp, grp, "7"), keep_last=3, keep_within_days=90)
 
 
 @query("scheduler_loop", f"SELECT id, CASE WHEN NOT due THEN 'idle' WHEN id % 5 <> 0 THEN 'start' WHEN id % 2 = 0 THEN 'chain' ELSE 'skip' END AS decision FROM (SELECT id, {DAILY} AS due FROM {_JOBS})")
