@@ -40,7 +40,8 @@ FROM f
 #: Every 100-byte string by its digest; a start that isn't the first of its string removes what it covers.
 OP8 = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, i, md5_number(substr(h, i * 2 + 1, 200)) AS k FROM d, unnest(range(length(h) // 2 - 99)) AS r(i)),
+l AS (SELECT doc_id, list_transform(range(length(h) // 2 - 99), lambda i: md5_number(substr(h, i * 2 + 1, 200))) AS ks FROM d),
+w AS (SELECT doc_id, unnest(ks) AS k, generate_subscripts(ks, 1) - 1 AS i FROM l),
 m AS (SELECT doc_id, i FROM (SELECT doc_id, i, min((doc_id, i)) OVER (PARTITION BY k) AS first FROM w) WHERE (doc_id, i) > first),
 s AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM m)),
 runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM s GROUP BY doc_id, run),
