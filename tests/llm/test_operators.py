@@ -691,3 +691,15 @@ def test_first_copies_of_a_task():
     batches = [pa.RecordBatch.from_pylist([{"node": k, "same": s, "text": f"{k}{s}"} for k, s in r], schema=pa.schema([("node", pa.int64()), ("same", pa.binary()), ("text", pa.string())])) for r in rows]
     got = [(r["node"], r["same"]) for b in repeats._first_copies(iter(batches)) for r in b.to_pylist()]
     assert got == [(3, b"a"), (9, b"b"), (2, b"a"), (7, b"c"), (1, b"b")]
+
+
+@pytest.mark.parametrize(("samples", "labels"), [([b"", b""], [0, 1]), ([b"a", b"b"], [0, 1]), ([b"x" * 200, b"", b"y z" * 100], [1, 0, 0]), ([b"same" * 60] * 6, [0, 1] * 3)])
+def test_toxicity_of_odd_samples(samples, labels):
+    import numpy as np
+
+    y = np.array(labels)
+    model = toxicity.train(list(samples), y, np.arange(len(y)) % 3, 3.0)
+    off = np.cumsum([0, *map(len, samples)])
+    got = model.scores(np.frombuffer(b"".join(samples), np.uint8), off, model.coders())
+    assert len(got) == len(samples) and ((got >= 0) & (got <= 1)).all()
+    assert toxicity.Model(chances=[0.3]).scores(np.empty(0, np.uint8), np.array([0, 0]), toxicity.Model().coders()).tolist() == [0.3]
