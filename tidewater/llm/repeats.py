@@ -43,7 +43,7 @@ BLOCK = WIDTH + 1 - REACH
 STRIDE = 1 << 19
 SHARD_BYTES = 2 << 20
 #: Text bytes for each bucket, and how many buckets there are at least.
-BUCKET_BYTES, LEAST_BUCKETS = 128 << 20, 64
+BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 256
 #: Digests that a task remembers, so as to send a hot text on once.
 SEEN = 500_000
 NO_ID = -(1 << 63)
