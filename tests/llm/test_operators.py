@@ -6,6 +6,7 @@ import math
 import random
 import re
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -108,6 +109,33 @@ def test_repeats_with_versions_and_repeated_rows(spark):
     assert got == {(1, 150, 0), (1, 152, 150), (2, 150, 150)}
 
 
+def test_buckets_of_many_shards():
+    """Buckets take time by their rows, not by rows times shards: six seconds are far more than that, far less than the other."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd, shards, many = np.random.default_rng(5), 4000, 15
+    text = rnd.integers(97, 123, 1200, np.uint8)
+    q = 100 + 51 * np.arange(many)
+    data = np.concatenate([text[k - 50 : k + 100] for k in q])
+    offer = lambda s: repeats._pack(np.full(many, s), np.zeros(many, "<i4"), q.astype("<i4"), np.zeros(many, "u1"), np.full(many, 50, "u1"), data)
+    began = time.process_time()
+    found = repeats._settle_bucket(repeats._out([(0, s, offer(s)) for s in range(shards)]), 4).to_pylist()
+    assert time.process_time() - began < 6
+    assert {r["shard"]: [x.tolist() for x in repeats._unpack(r["blob"])] for r in found} == {s: [[0], [50], [int(q[-1])]] for s in range(1, shards)}
+    alone = repeats._settle_bucket(repeats._out([(0, 3, offer(3))]), 4)
+    assert alone.num_rows == 0 and isinstance(alone, pa.Table)
+    # each shard holds 250 entries of its own and 50 of its neighbour's
+    held = [np.sort(np.concatenate([np.arange(300 * s, 300 * s + 250), np.arange(300 * (s ^ 1), 300 * (s ^ 1) + 50)]).astype("<u8") * np.uint64(repeats.tb._C1)) for s in range(shards)]
+    began = time.process_time()
+    told = repeats._common(repeats._out([(0, s, x.tobytes()) for s, x in enumerate(held)])).to_pylist()
+    assert time.process_time() - began < 6
+    for r in told[:20]:
+        s = r["shard"]
+        assert np.frombuffer(r["blob"], "<u8").tolist() == np.intersect1d(held[s], held[s ^ 1]).tolist() and len(r["blob"]) == 800
+    assert len(told) == shards
+
+
 def test_near_duplicates(spark):
     docs = texts(2, 60)
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(frame(spark, docs)).collect()}

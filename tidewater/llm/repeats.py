@@ -201,19 +201,29 @@ def _announce(table: pa.Table, buckets: int) -> pa.Table:
 def _common(table: pa.Table) -> pa.Table:
     """Pass 1, a bucket: to each shard the entries that another one holds too."""
     blobs, shards = [np.frombuffer(x.as_py(), "<u8") for x in table["blob"]], table["shard"].to_pylist()
-    value, count = np.unique(np.concatenate(blobs), return_counts=True)
-    again = value[count > 1]
-    return _out([(0, s, x.tobytes()) for s, b in zip(shards, blobs, strict=True) if len(x := b[np.isin(b, again, assume_unique=True)])])
+    _, back, count = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
+    # all shards at once: a search for each takes time by the square of the corpus
+    parts = np.split(count[back] > 1, np.cumsum([len(b) for b in blobs])[:-1])
+    return _out([(0, s, b[again].tobytes()) for s, b, again in zip(shards, blobs, parts, strict=True) if again.any()])
 
 
-def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marked windows (document, start) as runs: (document, first, last)."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
+def _marked(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(occurrence, smallest, largest distance) of the runs of marked windows."""
+    edge = np.zeros((len(marked), REACH + 1), np.int8)
+    edge[:, :-1] += marked
+    edge[:, 1:] -= marked
+    i, near = np.nonzero(edge > 0)
+    return i, near, np.nonzero(edge < 0)[1] - 1
+
+
+def _runs(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of marked windows (document, first start, last start), those that touch as one."""
+    order = np.lexsort((first, doc))
+    doc, first, last = doc[order], first[order], last[order]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] - start[:-1] > 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (first[1:] - last[:-1] > 1)
     at = np.flatnonzero(new)
-    return doc[at].astype("<i4"), start[at].astype("<i4"), start[np.append(at[1:], len(start)) - 1].astype("<i4") if len(at) else np.empty(0, "<i4")
+    return doc[at].astype("<i4"), first[at].astype("<i4"), last[np.append(at[1:], len(last)) - 1].astype("<i4") if len(at) else np.empty(0, "<i4")
 
 
 def _offer(left: pa.Table, right: pa.Table, buckets: int) -> pa.Table:
@@ -243,8 +253,9 @@ def _offer(left: pa.Table, right: pa.Table, buckets: int) -> pa.Table:
         if not len(mine):
             continue
         marked = settle(node[doc[mine]], q[mine] - offsets[doc[mine]], low[mine], high[mine], *_context(padded, q[mine]))
-        i, d = np.nonzero(marked)
-        marks.append((doc[mine[i]], q[mine[i]] - d - offsets[doc[mine[i]]]))
+        i, least, most = _marked(marked)
+        at = q[mine[i]] - offsets[doc[mine[i]]]
+        marks.append((doc[mine[i]], at - most, at - least))
         span = np.arange(REACH)[None]
         open_ = (span >= low[mine][:, None]) & (span <= high[mine][:, None]) & ~marked & shared[mine][:, None]
         some = open_.any(1)
@@ -277,7 +288,7 @@ def _settle_bucket(table: pa.Table, buckets: int) -> pa.Table:
     size = far + WIDTH - near
     start = np.cumsum(size) - size
     h = tb.span_hashes(data, start + far, start + far + BLOCK)
-    rows: dict[int, list] = {}
+    found = []
     step = max(1, -(-len(q) // 60_000))
     padded = _bounded(data)
     for k in range(step):
@@ -286,12 +297,16 @@ def _settle_bucket(table: pa.Table, buckets: int) -> pa.Table:
             continue
         # bytes before or after an occurrence's own belong to others, and lie outside all its windows
         marked = settle(node[mine], q[mine], near[mine], far[mine], *_context(padded, start[mine] + far[mine]))
-        i, d = np.nonzero(marked)
+        i, least, most = _marked(marked)
         i = mine[i]
-        for w in np.unique(who[i]):
-            x = who[i] == w
-            rows.setdefault(int(shards[w]), []).append((doc[i[x]], (q[i] - d)[x]))
-    return _out([(0, s, _pack(*_runs(*(np.concatenate(x) for x in zip(*found, strict=True))))) for s, found in rows.items()])
+        found.append((shards[who[i]], doc[i], q[i] - most, q[i] - least))
+    # dealt out to the shards by one sort: a pass for each takes time by the square of the corpus
+    shard, *runs = (np.concatenate(x) for x in zip(*found, strict=True))
+    if not len(shard):
+        return _out([])
+    order = np.argsort(shard, kind="stable")
+    whose, cut = np.unique(shard[order], return_index=True)
+    return _out([(0, s, _pack(*_runs(*(x[mine] for x in runs)))) for s, mine in zip(whose.tolist(), np.split(order, cut[1:]), strict=True)])
 
 
 RESULT = "same binary, node long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
