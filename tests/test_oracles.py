@@ -41,7 +41,7 @@ def _differs(spark, sf, name):
 LARGE_KEYS = "SELECT * REPLACE (c_custkey + 195600 AS c_custkey) FROM customer WHERE c_custkey < 20"
 
 
-@pytest.mark.parametrize("name", ["mft_record_parse"])
+@pytest.mark.parametrize("name", ["mft_record_parse", "mft_record_stream"])
 def test_records_of_large_numbers(spark, grown, name):
     assert _differs(spark, grown("customer", LARGE_KEYS), name) is None
 
