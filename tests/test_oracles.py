@@ -46,6 +46,12 @@ def test_records_of_large_numbers(spark, grown, name):
     assert _differs(spark, grown("customer", LARGE_KEYS), name) is None
 
 
+@pytest.mark.parametrize("names", ["c_name", "'twin'"])
+def test_guarded_walk_of_large_numbers_and_equal_names(spark, grown, names):
+    sql = LARGE_KEYS.replace(" AS c_custkey)", f" AS c_custkey, {names} AS c_name, CAST(c_custkey % 3 AS INTEGER) AS c_nationkey)")
+    assert _differs(spark, grown("customer", sql), "guarded_path_walk") is None
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_query_without_sql_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0

@@ -78,10 +78,10 @@ def exclusion_match(paths: DataFrame, rules: list[str]) -> DataFrame:
 
 
 def walk(nodes: DataFrame, asked: DataFrame) -> DataFrame:
-    """(asked, ref) of paths found segment by segment from the roots, ignoring case; a join a level, with paths that end dropping out."""
+    """(asked, ref) of paths found segment by segment from the roots, ignoring case; a join a level, with paths that end dropping out.  A path asked for twice is one."""
     roots = nodes.join(nodes.select(F.col("ref").alias("parent")), "parent", "left_anti").select("ref", F.lower("name").alias("part"))
     below = nodes.select(F.col("parent").alias("at"), F.lower("name").alias("part"), "ref")
-    todo = asked.select("asked", F.split(F.lower("asked"), "/").alias("parts"))
+    todo = asked.select("asked").distinct().select("asked", F.split(F.lower("asked"), "/").alias("parts"))
     found = todo.withColumn("part", F.col("parts")[0]).join(roots, "part").select("asked", "parts", F.col("ref").alias("at"))
     out = found.where(F.size("parts") == 1)
     longest = todo.agg(F.max(F.size("parts"))).first()[0] or 0
