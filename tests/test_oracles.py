@@ -52,6 +52,10 @@ def test_guarded_walk_of_large_numbers_and_equal_names(spark, grown, names):
     assert _differs(spark, grown("customer", sql), "guarded_path_walk") is None
 
 
+def test_durations_of_large_numbers(spark, grown):
+    assert _differs(spark, grown("documents", "SELECT * REPLACE (doc_id + 3600 AS doc_id) FROM documents"), "parse_duration") is None
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_query_without_sql_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0

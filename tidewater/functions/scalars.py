@@ -39,8 +39,8 @@ UNITS = {"d": 86400, "h": 3600, "m": 60, "s": 1}
 LONGEST = 3660 * 86400
 
 
-def parse_duration(text: Column) -> Column:
-    """Seconds of "1h30m"; a unit is a must, signs are refused, and so is more than 3,660 days."""
+def parse_duration(text: Column, longest: int | None = LONGEST) -> Column:
+    """Seconds of "1h30m"; a unit is a must, signs are refused, and so is more than the longest (3,660 days; None: no such guard)."""
     t = F.lower(F.trim(text))
     parts = F.regexp_extract_all(t, F.lit(r"(\d+[dhms])"), F.lit(1))
 
@@ -53,7 +53,7 @@ def parse_duration(text: Column) -> Column:
         return n * factor
 
     total = F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a + seconds(p))
-    return F.when(t.rlike(r"^(\d{1,9}[dhms])+$") & (total <= LONGEST), total)
+    return F.when(t.rlike(r"^(\d{1,9}[dhms])+$") & (F.lit(True) if longest is None else total <= longest), total)
 
 
 def parse_size_limit(text: Column) -> Column:
