@@ -56,6 +56,11 @@ def test_durations_of_large_numbers(spark, grown):
     assert _differs(spark, grown("documents", "SELECT * REPLACE (doc_id + 3600 AS doc_id) FROM documents"), "parse_duration") is None
 
 
+def test_tree_scan_of_more_rows_than_are_sampled(spark, grown):
+    sql = "SELECT * REPLACE (doc_id + 200 * k AS doc_id) FROM documents, range(200) r(k)"
+    assert _differs(spark, grown("documents", sql), "tree_scan") is None
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_query_without_sql_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0

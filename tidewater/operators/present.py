@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared_folder
+
 
 def first_n(df: DataFrame, group: str, value: str, n: int) -> DataFrame:
     """The n smallest values of each group, joined, and how many more there are.  No group is gathered whole."""
@@ -23,9 +25,12 @@ def global_index(df: DataFrame, order: str, partitions: int) -> DataFrame:
     """Rows numbered from 0 in the order of a column, without one task that sees them all.
 
     Rows are dealt out by ranges and sorted inside them; each range starts where the ranges before it
-    end, which takes one bounded row a range.
+    end, which takes one bounded row a range.  Spark samples for the bounds of ranges anew in each plan, so
+    the dealt rows are written in the shared folder once, and counted and numbered from there.
     """
-    dealt = df.repartitionByRange(partitions, order).withColumn("range", F.spark_partition_id())
+    path = shared_folder(df.sparkSession, "ranges")
+    df.repartitionByRange(partitions, order).withColumn("range", F.spark_partition_id()).write.parquet(path)
+    dealt = df.sparkSession.read.parquet(path)
     sizes = dealt.groupBy("range").agg(F.count("*").alias("n"))
     starts = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     place = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1
