@@ -61,6 +61,11 @@ def test_tree_scan_of_more_rows_than_are_sampled(spark, grown):
     assert _differs(spark, grown("documents", sql), "tree_scan") is None
 
 
+def test_stored_chunks_of_documents_with_one_id(spark, grown):
+    sql = "SELECT * REPLACE (CASE WHEN doc_id > 2 THEN doc_id // 2 END AS doc_id) FROM documents WHERE doc_id < 60"
+    assert _differs(spark, grown("documents", sql), "store_verify_bytes") is None
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_query_without_sql_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0

@@ -227,13 +227,18 @@ def bitmap_runs(bits: DataFrame) -> DataFrame:
     return d.groupBy("grp", "island").agg(F.min("pos").alias("start"), F.count("*").alias("count")).drop("island")
 
 
-def fixed_chunks(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, idx, length, digest, is_hole) of fixed-size pieces of the text's bytes; a hole is all one zero byte."""
+def fixed_parts(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, idx, part): the text's bytes in fixed-size pieces."""
     raw = F.col("text").cast("binary")
     n = F.octet_length(raw)
     pieces = docs.where(n > 0).select("doc_id", raw.alias("raw"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).alias("idx"))
     part = F.substring(F.col("raw"), F.col("idx") * size + 1, F.lit(size))
-    return pieces.select("doc_id", F.col("idx").cast("long").alias("idx"), part.alias("part")).select("doc_id", "idx", F.octet_length("part").cast("long").alias("length"), F.sha2("part", 256).alias("digest"), (F.col("part") == F.unhex(F.repeat(F.lit("00"), F.octet_length("part")))).alias("is_hole"))
+    return pieces.select("doc_id", F.col("idx").cast("long").alias("idx"), part.alias("part"))
+
+
+def fixed_chunks(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, idx, length, digest, is_hole) of fixed-size pieces of the text's bytes; a hole is all one zero byte."""
+    return fixed_parts(docs, size).select("doc_id", "idx", F.octet_length("part").cast("long").alias("length"), F.sha2("part", 256).alias("digest"), (F.col("part") == F.unhex(F.repeat(F.lit("00"), F.octet_length("part")))).alias("is_hole"))
 
 
 def export_check(entries: DataFrame) -> DataFrame:
