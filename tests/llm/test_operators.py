@@ -185,6 +185,19 @@ def test_large_buckets_keep_links_away_from_their_ends(spark, monkeypatch):
     assert {got[100 + i] for i in range(150)} == {100} and got[0] == 0 and got[999] == 999
 
 
+def test_texts_of_candidates_are_found_without_their_ids_at_the_driver(spark, monkeypatch):
+    def refuse(df):
+        raise AssertionError("ids grow with the corpus and may not be broadcast")
+
+    monkeypatch.setattr(neardup.F, "broadcast", refuse)
+    docs = spark.range(-5000, 15_000).selectExpr("id * 1000003 AS node", "concat('text ', id) AS text")
+    ids = docs.where("node % 4 = 0").select("node")
+    held = {r.node: r.text for r in neardup._texts_of(docs, ids.union(ids)).collect()}
+    assert {k for k in held if k % 4 == 0} == {i * 1000003 for i in range(-5000, 15_000, 4)} and len(held) < 5100
+    assert all(t == f"text {k // 1000003}" for k, t in held.items())
+    assert neardup._texts_of(docs, ids.limit(0)).count() == 0
+
+
 def test_similar_texts_of_unlike_length_share_bands():
     import numpy as np
 
