@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codecs as Z
-from ..functions.records import per_batch
 
 #: Parity bytes a stripe of a stored chunk.
 PARITY = 4
@@ -40,31 +39,39 @@ def resume_ranges(extents: DataFrame, unit: int, verified: int) -> DataFrame:
 def store_chunks(chunks: DataFrame) -> DataFrame:
     """(digest, codec, stored, ecc) of each distinct (digest, data): encoded, with parity beside it."""
 
-    def rows(digest, data):
-        codec, stored = Z.encode(data)
-        return [(digest, codec, stored, Z.parity(stored, PARITY))]
+    def run(batches):
+        for batch in batches:
+            coded = Z.encode_all(batch.column("data").to_pylist())
+            stored = [raw for _, raw in coded]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([codec for codec, _ in coded], pa.int64()), pa.array(stored, pa.binary()), pa.array(Z.parity_all(stored, PARITY), pa.binary())], ["digest", "codec", "stored", "ecc"])
 
-    distinct = chunks.dropDuplicates(["digest"])
-    return per_batch(distinct, ["digest", "data"], rows, ["digest", "codec", "stored", "ecc"], [pa.string(), pa.int64(), pa.binary(), pa.binary()], "digest string, codec long, stored binary, ecc binary")
+    return chunks.dropDuplicates(["digest"]).select("digest", "data").mapInArrow(run, "digest string, codec long, stored binary, ecc binary")
 
 
-def _state(digest, codec, stored, ecc):
-    """What the bytes of a stored chunk are worth: ok, repaired from parity, or damaged; and their plain length."""
-    def whole(raw):
+def _states(batches):
+    """What the bytes of each stored chunk are worth: ok, repaired from parity, or damaged; and their plain length."""
+    unpack = zs.ZstdDecompressor()
+
+    def length(digest, codec, raw):
         try:
-            data = Z.decode(codec, raw)
+            data = Z.decode(codec, raw, plain=unpack)
         except (zs.ZstdError, ValueError):
             return None
-        return data if hashlib.sha256(data).hexdigest() == digest else None
+        return len(data) if hashlib.sha256(data).hexdigest() == digest else None
 
-    data, state = whole(stored), "ok"
-    if data is None and (fixed := Z.repair(stored, ecc, PARITY)) is not None:
-        data, state = whole(fixed), "repaired"
-    return [(digest, state, len(data))] if data is not None else [(digest, "damaged", None)]
+    for batch in batches:
+        digest, codec, stored, ecc = (batch.column(c).to_pylist() for c in ("digest", "codec", "stored", "ecc"))
+        plain = list(map(length, digest, codec, stored))
+        state = ["ok" if n is not None else "damaged" for n in plain]
+        bad = [i for i, n in enumerate(plain) if n is None]
+        for i, fixed in zip(bad, Z.repair_all([stored[i] for i in bad], [ecc[i] for i in bad], PARITY), strict=True):
+            if fixed is not None and (n := length(digest[i], codec[i], fixed)) is not None:
+                plain[i], state[i] = n, "repaired"
+        yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(state, pa.string()), pa.array(plain, pa.int64())], ["digest", "state", "plain"])
 
 
 def store_problems(entries: DataFrame, store: DataFrame, holes: str = "is_hole") -> DataFrame:
     """Entries that can't be read as they say: missing, damaged beyond parity, repaired, or of another size.  Each chunk is read once; holes need none."""
-    seen = per_batch(store, ["digest", "codec", "stored", "ecc"], _state, ["digest", "state", "plain"], [pa.string(), pa.string(), pa.int64()], "digest string, state string, plain long")
+    seen = store.select("digest", "codec", "stored", "ecc").mapInArrow(_states, "digest string, state string, plain long")
     problem = F.when(F.col("state").isNull(), "missing").when(F.col("state") == "damaged", "damaged").when(F.col("plain") != F.col("size"), "size").when(F.col("state") == "repaired", "repaired")
     return entries.where(~F.col(holes)).join(seen, "digest", "left").withColumn("problem", problem).where("problem IS NOT NULL")
